@@ -302,9 +302,9 @@ def _(t):
     return C.add_prefix(part, "start_", ("lat", "lon"))
 
 
-@check("P17_ride_speed", "select ride_id, round((distance / 1000) / (duration / 60), 4) as speed from clean")
+@check("P17_ride_speed", "select ride_id, round((distance / 1000) / (duration / 60), 6) as speed from clean")
 def _(t):
-    return t.clean.select("ride_id", F.round(C.ride_speed(F.col("distance"), F.col("duration")), 4).alias("speed"))
+    return t.clean.select("ride_id", F.round(C.ride_speed(F.col("distance"), F.col("duration")), 6).alias("speed"))
 
 
 @check("P18_floor_hour", "select ride_id, date_trunc('hour', departure) as time from rides")

@@ -36,7 +36,8 @@ def histogram(df: DataFrame, column: str, bins: int = 60) -> DataFrame:
         .groupBy(equal_width_bin(F.col("x"), F.col("b.lo"), F.col("b.hi"), bins).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    edges = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    # The same scalar subquery again, so Spark runs it once.
+    edges = df.sparkSession.range(1).select(bounds.alias("b")).select("b.*")
     return _with_empty_bins(counted, edges, [], bins)
 
 

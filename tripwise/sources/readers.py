@@ -60,7 +60,8 @@ def unzip_trips(archives: DataFrame, schema: T.StructType = RAW_TRIPS) -> DataFr
                         if member.endswith(".csv"):
                             with archive.open(member) as handle:
                                 yield from pd.read_csv(
-                                    handle, names=names, header=0, dtype=text, chunksize=ROWS_PER_CHUNK
+                                    handle, names=names, header=0, dtype=text, chunksize=ROWS_PER_CHUNK,
+                                    float_precision="round_trip",
                                 )
 
     return archives.select("content").mapInPandas(unzip, schema)
