@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tripwise.functions.columns import binary_target, require_columns, two_phase_combine
 from tripwise.operators.folds import sample_per_station, time_series_folds
 from tripwise.operators.metrics import cv_summary, f1_score, regression_metrics
-from tripwise.operators.staging import materialize
+from tripwise.operators.staging import ensure_checkpoint_dir, materialize
 from tripwise.operators.usage import union_all
 
 # The 20 features the published models use.
@@ -58,6 +58,7 @@ TUNED_POSITIVE_REGRESSOR = {
 TARGET = "departures"
 CATEGORIES = ("station_id",)
 MAX_BINS = 32
+CHECKPOINT_EVERY = 10  # boosting rounds
 
 
 def tree_settings(params: dict) -> dict:
@@ -118,10 +119,11 @@ def _max_bins(train: DataFrame, columns) -> int:
 
 
 def _boosting(kind, label: str, train: DataFrame, columns, max_iter, max_depth, seed, params):
+    ensure_checkpoint_dir(train.sparkSession)
     settings = {"maxIter": max_iter, "maxDepth": max_depth, **tree_settings(params or {"max_depth": max_depth})}
     return kind(
         labelCol=label, featuresCol="features", seed=seed, maxBins=_max_bins(train, columns), maxMemoryInMB=1024,
-        checkpointInterval=-1, **settings,
+        checkpointInterval=CHECKPOINT_EVERY, **settings,
     )
 
 
@@ -176,28 +178,32 @@ def _split(folded: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return folded.filter(F.col("fold") < fold), folded.filter(F.col("fold") == fold)
 
 
-def _per_fold(folded: DataFrame, splits: int, score) -> DataFrame:
-    rows = []
-    for fold in range(1, splits + 1):
-        train, valid = _split(folded, fold)
-        rows.append(score(train, valid).select(F.lit(fold).alias("fold"), "*"))
-    return union_all(*rows)
+def _per_fold(folded: DataFrame, splits: int, score, parallelism: int) -> DataFrame:
+    """Fit and score every split. Fits are independent Spark jobs, so several run at once."""
 
+    def run(fold: int) -> DataFrame:
+        return score(*_split(folded, fold)).select(F.lit(fold).alias("fold"), "*")
 
-def cv_regression(folded: DataFrame, splits: int = 7, columns=SELECTED_FEATURES, **settings) -> DataFrame:
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return union_all(*pool.map(run, range(1, splits + 1)))
+
+
+def cv_regression(folded: DataFrame, splits: int = 7, columns=SELECTED_FEATURES, parallelism: int = 4, **settings) -> DataFrame:
     """MAE, RMSE and R2 of each expanding split."""
     return _per_fold(
         folded, splits,
         lambda train, valid: regression_metrics(predict(fit_regressor(train, columns, **settings), valid)),
+        parallelism,
     )
 
 
-def cv_two_phase(folded: DataFrame, splits: int = 7, columns=SELECTED_FEATURES, **settings) -> DataFrame:
+def cv_two_phase(folded: DataFrame, splits: int = 7, columns=SELECTED_FEATURES, parallelism: int = 4, **settings) -> DataFrame:
     return _per_fold(
         folded, splits,
         lambda train, valid: regression_metrics(
             predict_two_phase(*fit_two_phase(train, columns, **settings), valid)
         ),
+        parallelism,
     )
 
 
@@ -206,7 +212,7 @@ def summarize(folds: DataFrame) -> DataFrame:
 
 
 def objective_reg(folded: DataFrame, params: dict, splits: int = 7, columns=SELECTED_FEATURES,
-                  two_phase: bool = False, **settings) -> DataFrame:
+                  two_phase: bool = False, parallelism: int = 4, **settings) -> DataFrame:
     """Mean MAE over the splits. With `two_phase`, only rows with demand train and are scored."""
 
     def score(train: DataFrame, valid: DataFrame) -> DataFrame:
@@ -214,17 +220,18 @@ def objective_reg(folded: DataFrame, params: dict, splits: int = 7, columns=SELE
             train, valid = train.filter(F.col("y") > 0), valid.filter(F.col("y") > 0)
         return regression_metrics(predict(fit_regressor(train, columns, params=params, **settings), valid))
 
-    return _per_fold(folded, splits, score).agg(F.avg("mae").alias("loss"))
+    return _per_fold(folded, splits, score, parallelism).agg(F.avg("mae").alias("loss"))
 
 
-def objective_clf(folded: DataFrame, params: dict, splits: int = 7, columns=SELECTED_FEATURES, **settings) -> DataFrame:
+def objective_clf(folded: DataFrame, params: dict, splits: int = 7, columns=SELECTED_FEATURES, parallelism: int = 4,
+                  **settings) -> DataFrame:
     """Negative mean F1 of the active class over the splits."""
 
     def score(train: DataFrame, valid: DataFrame) -> DataFrame:
         scored = predict(fit_classifier(train, columns, params=params, **settings), valid)
         return f1_score(scored, "active", "yhat")
 
-    return _per_fold(folded, splits, score).agg((-F.avg("f1")).alias("loss"))
+    return _per_fold(folded, splits, score, parallelism).agg((-F.avg("f1")).alias("loss"))
 
 
 def draw_params(rng: random.Random, space: dict | None = None) -> dict:
@@ -246,7 +253,8 @@ def tune(folded: DataFrame, objective=objective_reg, trials: int = 30, splits: i
     drawn = [draw_params(rng, space) for _ in range(trials)]
 
     def run(params: dict) -> float:
-        return objective(folded, params, splits=splits, columns=columns, **settings).first()["loss"]
+        loss = objective(folded, params, splits=splits, columns=columns, parallelism=1, **settings)
+        return loss.first()["loss"]
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         losses = list(pool.map(run, drawn))

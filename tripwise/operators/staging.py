@@ -42,6 +42,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Iterative fits cut their lineage with reliable checkpoints; give them the shared folder if none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_dir(spark))
+
+
 @dataclass(frozen=True)
 class Lookup:
     """A lookup table together with the result of the size check."""
