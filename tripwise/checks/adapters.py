@@ -102,7 +102,7 @@ class Tables:
 
     @property
     def unified(self) -> DataFrame:
-        return self.staged("unified", lambda: unify_stations(self.rides, tiebreak="ride_id"))
+        return self.staged("unified", lambda: unify_stations(self.rides))
 
     @property
     def clean(self) -> DataFrame:

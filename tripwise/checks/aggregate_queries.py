@@ -30,7 +30,7 @@ def _(t):
 
 @check("A4_latest_name_per_id", "select id, name from names_of_rides where id is not null")
 def _(t):
-    return identity.latest_name_per_id(t.rides, "ride_id")
+    return identity.latest_name_per_id(t.rides)
 
 
 @check("A5_value_counts", "select departure_id, count(*) as n from clean group by 1 order by n desc, 1")
@@ -383,7 +383,7 @@ def _(t):
 @check("A44_update_station_names", "select ride_id, departure_id, departure_name, return_id, return_name from unified")
 def _(t):
     merged = identity.merge_station_ids(t.rides)
-    return identity.update_station_names(merged, "ride_id").select(
+    return identity.update_station_names(merged).select(
         "ride_id", "departure_id", "departure_name", "return_id", "return_name"
     )
 

@@ -74,7 +74,7 @@ view("names_of_rides", latest_names("rides"))
 select r.ride_id, d.name as departure_name, b.name as return_name from rides r
 left join names_of_rides d on r.departure_id = d.id left join names_of_rides b on r.return_id = b.id""")
 def _(t):
-    names = as_lookup(identity.latest_name_per_id(t.rides, "ride_id"), stage="names")
+    names = as_lookup(identity.latest_name_per_id(t.rides), stage="names")
     return identity.remap_names(t.rides, names).select("ride_id", "departure_name", "return_name")
 
 
@@ -221,7 +221,7 @@ select u.station_id, u.total, u.rank, n.name from usage_rank u left join station
 def _(t):
     counted = t.clean.select(F.col("departure_id").alias("station_id"), F.lit(1).alias("departures"))
     ranked = usage.station_demand_rank(counted)
-    names = as_lookup(identity.latest_name_per_id(identity.merge_station_ids(t.rides), "ride_id"), stage="names")
+    names = as_lookup(identity.latest_name_per_id(identity.merge_station_ids(t.rides)), stage="names")
     return identity.ordered_lookup(ranked, names).select("station_id", "total", "rank", "name")
 
 

@@ -63,10 +63,10 @@ def latest_names(source: str) -> str:
     return f"""
 select coalesce(d.id, r.id) as id, coalesce(d.name, r.name) as name from
  (select departure_id as id, departure_name as name from {source} where departure_name is not null
-  qualify row_number() over (partition by departure_id order by departure desc nulls first, ride_id desc) = 1) d
+  qualify row_number() over (partition by departure_id order by departure desc nulls first, departure_name desc) = 1) d
 full join
  (select return_id as id, return_name as name from {source} where return_name is not null
-  qualify row_number() over (partition by return_id order by departure desc nulls first, ride_id desc) = 1) r
+  qualify row_number() over (partition by return_id order by departure desc nulls first, return_name desc) = 1) r
 on d.id = r.id"""
 
 

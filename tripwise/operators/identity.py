@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripwise.operators.staging import Lookup, as_lookup, lookup_join
@@ -50,31 +50,28 @@ def remap_ids(trips: DataFrame, id_map: Lookup, columns=("departure_id", "return
     return out.select(*trips.columns)
 
 
-def latest_name_per_id(trips: DataFrame, tiebreak=None) -> DataFrame:
-    """The newest known name of each id; names given at departure beat names given at return.
+def latest_name_per_id(trips: DataFrame) -> DataFrame:
+    """The newest known name of each id; names given at departure beat names given at return, and of two
+    names at the same moment the greater wins.
 
-    Both sides go through one aggregation with map-side combine. `tiebreak` orders trips that depart
-    at the same moment; without it the greater name wins.
+    Trips are first reduced to (id, name, side) with a plain maximum, which runs as a hash aggregate with
+    map-side combine; choosing by a composite order is left to that small result.
     """
     when = F.coalesce(F.col("departure"), F.lit(_LAST).cast("timestamp"))
-    tie = F.col(tiebreak) if tiebreak else None
 
-    def end(side: str, priority: int):
-        name = F.col(f"{side}_name")
+    def end(side: str, priority: int) -> Column:
         return F.struct(
-            F.col(f"{side}_id").alias("id"),
-            name.alias("name"),
-            F.struct(
-                F.lit(priority).alias("priority"), when.alias("when"), (tie if tiebreak else name).alias("tie")
-            ).alias("rank"),
+            F.col(f"{side}_id").alias("id"), F.col(f"{side}_name").alias("name"), F.lit(priority).alias("priority"),
+            when.alias("when"),
         )
 
-    return (
+    seen = (
         trips.select(F.inline(F.array(end("departure", 1), end("return", 0))))
         .filter(F.col("id").isNotNull() & F.col("name").isNotNull())
-        .groupBy("id")
-        .agg(F.max_by("name", "rank").alias("name"))
+        .groupBy("id", "name", "priority")
+        .agg(F.max("when").alias("when"))
     )
+    return seen.groupBy("id").agg(F.max_by("name", F.struct("priority", "when", "name")).alias("name"))
 
 
 def remap_names(trips: DataFrame, names: Lookup) -> DataFrame:
@@ -93,8 +90,8 @@ def merge_station_ids(trips: DataFrame) -> DataFrame:
     return remap_ids(trips, as_lookup(id_map, stage="id-map"))
 
 
-def update_station_names(trips: DataFrame, tiebreak=None) -> DataFrame:
-    names = latest_name_per_id(trips, tiebreak)
+def update_station_names(trips: DataFrame) -> DataFrame:
+    names = latest_name_per_id(trips)
     return remap_names(trips, as_lookup(names, stage="station-names"))
 
 

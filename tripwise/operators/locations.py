@@ -66,15 +66,16 @@ def merge_station_info(trips: DataFrame, stations: Lookup, side: str, dedupe: bo
     return join_station_by_name(join_station_by_id(trips, stations, side), stations, side, dedupe)
 
 
-def first_location_per_id(trips: DataFrame, tiebreak: str | None = None) -> DataFrame:
-    """One location per departure station: that of its first trip that has the columns."""
-    order = [F.col("departure")] + ([F.col(tiebreak)] if tiebreak else [])
-    location = F.struct(*[F.col(f"departure_{c}").alias(c) for c in DETAILS])
-    return (
-        trips.groupBy(F.col("departure_id").alias("station_id"))
-        .agg(F.min_by(location, F.struct(*order, location)).alias("at"))
-        .select("station_id", "at.*")
-    )
+def first_location_per_id(trips: DataFrame) -> DataFrame:
+    """One location per departure station: that of its first trip. Equal moments go to the smaller location.
+
+    As with the names, a hash aggregate over (station, location) comes first.
+    """
+    places = trips.groupBy(
+        F.col("departure_id").alias("station_id"), *[F.col(f"departure_{c}").alias(c) for c in DETAILS]
+    ).agg(F.min("departure").alias("_first"))
+    at = F.struct(*DETAILS)
+    return places.groupBy("station_id").agg(F.min_by(at, F.struct("_first", at)).alias("at")).select("station_id", "at.*")
 
 
 def join_station_coords(hourly: DataFrame, locations: Lookup) -> DataFrame:

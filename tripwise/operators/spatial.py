@@ -57,13 +57,12 @@ def top_station_pairs(trips: DataFrame, n: int = 10) -> DataFrame:
 
 
 def station_points(trips: DataFrame) -> DataFrame:
-    """One location per departure station name: that of its first trip."""
-    at = F.struct(F.col("departure_lat").alias("lat"), F.col("departure_lon").alias("lon"))
-    return (
-        trips.groupBy(F.col("departure_name").alias("station"))
-        .agg(F.min_by(at, F.struct("departure", at)).alias("at"))
-        .select("station", "at.*")
-    )
+    """One location per departure station name: that of its first trip, after a hash aggregate per location."""
+    places = trips.groupBy(
+        F.col("departure_name").alias("station"), F.col("departure_lat").alias("lat"), F.col("departure_lon").alias("lon")
+    ).agg(F.min("departure").alias("_first"))
+    at = F.struct("lat", "lon")
+    return places.groupBy("station").agg(F.min_by(at, F.struct("_first", at)).alias("at")).select("station", "at.*")
 
 
 def route_endpoints(routes: DataFrame, points: DataFrame) -> DataFrame:

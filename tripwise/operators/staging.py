@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+HOT_ROWS = 1_000_000
 SALTS = 32
 
 
@@ -75,18 +76,42 @@ def as_lookup(df: DataFrame, stage: str | None = None, max_rows: int = MAX_BROAD
 
 
 def lookup_join(left: DataFrame, lookup: Lookup, on, how: str = "left") -> DataFrame:
-    """Left, inner, semi or anti join to a lookup: map-side when it is small, salted otherwise."""
+    """Left, inner, semi or anti join to a lookup: map-side when it is small, with hot keys spread otherwise."""
     keys = [on] if isinstance(on, str) else list(on)
     if lookup.small:
         return left.join(F.broadcast(lookup.frame), keys, how)
     return salted_join(left, lookup.frame, keys, how)
 
 
-def salted_join(left: DataFrame, right: DataFrame, on, how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Spread every key of the left side over `salts` tasks; the right side is repeated once per salt.
-    Each left row meets each right row of its key exactly once. Exact copies of a row share a salt, and
-    adaptive skew handling splits those by map output."""
+def salted_join(left: DataFrame, right: DataFrame, on, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Shuffle join in which no key of the left side meets in one task with more than about `hot_rows` rows.
+
+    Each left row meets each right row of its key exactly once.
+    """
     keys = [on] if isinstance(on, str) else list(on)
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread, repeated = spread_hot_keys(left, right, keys, hot_rows)
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def spread_hot_keys(left: DataFrame, right: DataFrame, keys, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Add `_salt` to both sides: 0 for ordinary keys; a hot key of the left side gets as many salts as it
+    needs, its left rows are dealt out and its right rows are repeated once per salt.
+
+    Hot keys are counted first (a map-side combined aggregate). There are at most rows / hot_rows of them,
+    and their table is measured before it is broadcast. The salt depends on the row and on the partition it
+    is read from, so exact copies are dealt out too and a repeated task makes the same choice.
+    """
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    salts = F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")
+    hot = as_lookup(counts.select(*keys, salts), stage="hot-keys")
+    table = F.broadcast(hot.frame) if hot.small else hot.frame
+    # Rows without a key match nothing; they only have to be dealt out.
+    no_key = F.lit(False)
+    for key in keys:
+        no_key = no_key | F.col(key).isNull()
+    width = F.when(no_key, F.lit(SALTS)).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
+    place = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), width.cast("bigint")).cast("int")
+    dealt = left.join(table, keys, "left").withColumn("_salt", place).drop("_salts")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    repeated = right.join(table, keys, "left").withColumn("_salt", each).drop("_salts")
+    return dealt.select(*left.columns, "_salt"), repeated.select(*right.columns, "_salt")

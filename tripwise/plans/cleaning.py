@@ -25,9 +25,9 @@ def normalize_trips(raw: DataFrame) -> DataFrame:
     return strip_names(coerce_timestamp(lowercase_columns(raw)))
 
 
-def unify_stations(trips: DataFrame, tiebreak: str | None = None) -> DataFrame:
+def unify_stations(trips: DataFrame) -> DataFrame:
     """Ids first, then names: the names are looked up under the unified ids."""
-    return update_station_names(merge_station_ids(trips), tiebreak)
+    return update_station_names(merge_station_ids(trips))
 
 
 def clean_trips(trips: DataFrame, skip_month: int | None = 3) -> DataFrame:

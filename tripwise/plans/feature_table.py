@@ -26,16 +26,21 @@ from tripwise.operators.staging import Lookup, as_lookup, lookup_join, materiali
 
 
 def station_summary(trips: DataFrame) -> DataFrame:
-    """One row per departure station: trips, location at its first trip, first and last hour."""
-    at = F.struct(*[F.col(f"departure_{c}").alias(c) for c in DETAILS])
-    hour = floor_hour(F.col("departure"))
+    """One row per departure station: trips, location at its first trip, first and last hour.
+
+    Trips are reduced to (station, location) by a hash aggregate; the rest works on that small result.
+    """
+    places = trips.groupBy(
+        F.col("departure_id").alias("station_id"), *[F.col(f"departure_{c}").alias(c) for c in DETAILS]
+    ).agg(F.count(F.lit(1)).alias("n"), F.min("departure").alias("first"), F.max("departure").alias("last"))
+    at = F.struct(*DETAILS)
     return (
-        trips.groupBy(F.col("departure_id").alias("station_id"))
+        places.groupBy("station_id")
         .agg(
-            F.count(F.lit(1)).alias("trips"),
-            F.min_by(at, F.struct("departure", at)).alias("at"),
-            F.min(hour).alias("first_hour"),
-            F.max(hour).alias("last_hour"),
+            F.sum("n").alias("trips"),
+            F.min_by(at, F.struct("first", at)).alias("at"),
+            floor_hour(F.min("first")).alias("first_hour"),
+            floor_hour(F.max("last")).alias("last_hour"),
         )
         .select("station_id", "trips", "at.*", "first_hour", "last_hour")
     )

@@ -15,7 +15,7 @@ from tripwise.operators.grid import hourly_total
 def hourly_with_weather(trips: DataFrame, weather: DataFrame, months=SEASON_MONTHS,
                         tolerance_seconds: float = 60.0) -> DataFrame:
     """Hourly totals with the weather observed at most one minute before the hour."""
-    return asof_join_backward(hourly_total(trips, months), weather, "time", tolerance_seconds, left_unique=True)
+    return asof_join_backward(hourly_total(trips, months), weather, "time", tolerance_seconds, hot_rows=None)
 
 
 def distribution_tables(trips: DataFrame, cutoff_year: int = 2024, bins: int = 60) -> dict[str, DataFrame]:
