@@ -107,3 +107,25 @@ def test_unknown_station_keeps_its_rank(spark):
     ranked = spark.createDataFrame([("9", 2), ("1", 1)], "station_id string, rank long")
     names = as_lookup(spark.createDataFrame([("1", "A")], "id string, name string"))
     assert [(r.station_id, r.name) for r in identity.ordered_lookup(ranked, names).collect()] == [("1", "A"), ("9", None)]
+
+
+def test_unify_equals_the_two_steps(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        def name():
+            return rng.choice(["A", "B", "C", "D", None])
+
+        def key():
+            return rng.choice(["1", "2", "3", "4", "5", None])
+
+        hour = rng.choice([None, *range(23)])
+        rows.append(trip(hour, key(), name(), key(), name(), float(i)))
+    rows.append(trip(4, "77", None, "88", None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    steps = identity.update_station_names(identity.merge_station_ids(df))
+    once = identity.unify_stations(df)
+    assert once.columns == steps.columns
+    assert sorted(map(str, once.collect())) == sorted(map(str, steps.collect()))

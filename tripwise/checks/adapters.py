@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripwise.operators.identity import unify_stations
 from tripwise.operators.staging import materialize
-from tripwise.plans.cleaning import clean_rides, unify_stations
+from tripwise.plans.cleaning import clean_rides
 from tripwise.plans.feature_table import build_feature_table
 
 MONTHS = (1,)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwise.operators.staging import Lookup, as_lookup, lookup_join
+from tripwise.operators.staging import Lookup, as_lookup, lookup_join, materialize
 
 # A departure without a time sorts after every other one.
 _LAST = "9999-12-31 23:59:59"
@@ -50,12 +50,11 @@ def remap_ids(trips: DataFrame, id_map: Lookup, columns=("departure_id", "return
     return out.select(*trips.columns)
 
 
-def latest_name_per_id(trips: DataFrame) -> DataFrame:
-    """The newest known name of each id; names given at departure beat names given at return, and of two
-    names at the same moment the greater wins.
+def station_sightings(trips: DataFrame) -> DataFrame:
+    """One row per (id, name, side) with the number of trips and the last moment it was seen.
 
-    Trips are first reduced to (id, name, side) with a plain maximum, which runs as a hash aggregate with
-    map-side combine; choosing by a composite order is left to that small result.
+    Plain counts and maxima over one scan: a hash aggregate with map-side combine. Everything about ids and
+    names follows from this small table. `priority` is 1 for departures and 0 for returns.
     """
     when = F.coalesce(F.col("departure"), F.lit(_LAST).cast("timestamp"))
 
@@ -65,13 +64,22 @@ def latest_name_per_id(trips: DataFrame) -> DataFrame:
             when.alias("when"),
         )
 
-    seen = (
+    return (
         trips.select(F.inline(F.array(end("departure", 1), end("return", 0))))
         .filter(F.col("id").isNotNull() & F.col("name").isNotNull())
         .groupBy("id", "name", "priority")
-        .agg(F.max("when").alias("when"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max("when").alias("when"))
     )
-    return seen.groupBy("id").agg(F.max_by("name", F.struct("priority", "when", "name")).alias("name"))
+
+
+def _newest_name(sightings: DataFrame) -> DataFrame:
+    """Names at departure beat names at return, later beats earlier, and of equal moments the greater name wins."""
+    return sightings.groupBy("id").agg(F.max_by("name", F.struct("priority", "when", "name")).alias("name"))
+
+
+def latest_name_per_id(trips: DataFrame) -> DataFrame:
+    """The newest known name of each id."""
+    return _newest_name(station_sightings(trips))
 
 
 def remap_names(trips: DataFrame, names: Lookup) -> DataFrame:
@@ -95,6 +103,29 @@ def update_station_names(trips: DataFrame) -> DataFrame:
     return remap_names(trips, as_lookup(names, stage="station-names"))
 
 
+def unify_stations(trips: DataFrame) -> DataFrame:
+    """Ids merged by name, then the newest name of each merged id: the two steps above in one go.
+
+    The sightings hold all that both steps need, so trips are read twice (once to count, once to replace)
+    and each end of a trip is looked up once, for its id and its name together.
+    """
+    sightings = materialize(station_sightings(trips), "station-sightings")
+    counts = sightings.groupBy("id", "name").agg(F.sum("n").alias("n"))
+    id_map = id_merge_map(join_usage_main_id(counts, main_id_per_name(counts)))
+    merged = sightings.join(id_map, "id").select(F.col("main_id").alias("id"), "name", "priority", "when")
+    names = _newest_name(merged).select(F.col("id").alias("main_id"), "name")
+    lookup = as_lookup(id_map.join(names, "main_id", "left").select("id", "main_id", "name"), stage="stations")
+    out = trips
+    for side in ("departure", "return"):
+        key = f"{side}_id"
+        step = lookup.derive(
+            lambda m, k=key: m.select(F.col("id").alias(k), F.col("main_id").alias("_id"), F.col("name").alias("_name"))
+        )
+        out = lookup_join(out, step, key).withColumns({key: F.coalesce("_id", key), f"{side}_name": F.col("_name")})
+        out = out.drop("_id", "_name")
+    return out.select(*trips.columns)
+
+
 def ordered_lookup(ranked: DataFrame, stations: Lookup, key: str = "station_id") -> DataFrame:
     """Names for ranked station ids, in rank order; an unknown id keeps a null name."""
     names = stations.derive(lambda s: s.select(F.col("id").alias(key), "name"))

@@ -16,7 +16,6 @@ from tripwise.functions.columns import (
     strip_names,
 )
 from tripwise.functions.timeparts import exclude_month
-from tripwise.operators.identity import merge_station_ids, update_station_names
 from tripwise.operators.locations import merge_station_info, prepare_stations
 
 
@@ -25,11 +24,6 @@ def normalize_trips(raw: DataFrame) -> DataFrame:
     return strip_names(coerce_timestamp(lowercase_columns(raw)))
 
 
-def unify_stations(trips: DataFrame) -> DataFrame:
-    """Ids first, then names: the names are looked up under the unified ids."""
-    return update_station_names(merge_station_ids(trips))
-
-
 def clean_trips(trips: DataFrame, skip_month: int | None = 3) -> DataFrame:
     """Cleaning before the station join: month, duration, nulls, units, outliers."""
     out = exclude_month(trips, "departure", skip_month) if skip_month else trips
