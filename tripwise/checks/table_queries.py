@@ -70,13 +70,18 @@ def _(t):
     return readers.read_trips_multi(t.spark, years).drop("return")
 
 
-def _zip_batches(batches):
-    for i, batch in enumerate(batches):
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("trips.csv", batch.to_csv(index=False))
-            archive.writestr("readme.txt", "not a table")
-        yield pd.DataFrame({"path": [f"trips-{i}.zip"], "content": [buffer.getvalue()]})
+def zipped(trips):
+    """One archive per Arrow batch, built in the executors: (path, content)."""
+
+    def pack(batches):
+        for i, batch in enumerate(batches):
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("trips.csv", batch.to_csv(index=False))
+                archive.writestr("readme.txt", "not a table")
+            yield pd.DataFrame({"path": [f"trips-{i}.zip"], "content": [buffer.getvalue()]})
+
+    return trips.mapInPandas(pack, "path string, content binary")
 
 
 @check("S3_read_trips_zip", """
@@ -85,8 +90,7 @@ select strftime(departure, '%Y-%m-%d %H:%M:%S.%f') as departure, departure_id, d
 def _(t):
     text = {c: F.date_format(c, writers.CSV_TIME) for c in ("departure", "return")}
     landed = t.rides.select(*RIDE_COLUMNS).withColumns(text)
-    archives = landed.mapInPandas(_zip_batches, "path string, content binary")
-    return readers.unzip_trips(archives).drop("return")
+    return readers.unzip_trips(zipped(landed)).drop("return")
 
 
 @check("S4_parse_station_json", """
