@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tripwise.checks.compare import compare, oracle_connection
+from tripwise.checks.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -28,3 +28,7 @@ def test_keys_cover_the_inventory():
 
 def test_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_offers_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
