@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripwise.llm import mixing, sharding, simhash
+from tripwise.llm import edit_fingerprints, mixing, sharding, simhash
 from tripwise.llm.common import read
 
 SHARDS = 40
 
 
+def op2_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edit_fingerprints.fingerprint_edits(read(spark, folder, "documents"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_table(read(spark, folder, "documents"))
 
@@ -25,5 +29,5 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mixing, op8_sharding, op10_simhash)
+    f.__name__: f for f in (op2_edit_fingerprints, op3_mixing, op8_sharding, op10_simhash)
 }
