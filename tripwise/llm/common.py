@@ -32,3 +32,14 @@ def held_out(doc_id: Column) -> Column:
 def packed(df: DataFrame, name: str = "_row") -> Column:
     """All columns of the input in one struct, so that working columns cannot clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def drawn(rows: DataFrame, key: str, most: int) -> list:
+    """At most `most` rows with the lowest seeded keys, on the driver: a uniform, repeatable draw.
+
+    Rows that cannot be among them are filtered out first, so that tasks send little more than what is kept.
+    """
+    total = rows.count()
+    if total > 2 * most:
+        rows = rows.filter(F.col(key) < int((1 << KEY_BITS) * min(1.0, (most + 8 * most ** 0.5) / total)))
+    return rows.orderBy(key).limit(most).collect()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripwise.llm import edit_fingerprints, mixing, sharding, simhash
+from tripwise.llm import edit_fingerprints, mixing, pu_quality, sharding, simhash, toxicity
 from tripwise.llm.common import read
 
 SHARDS = 40
@@ -20,14 +20,23 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_table(read(spark, folder, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_table(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_table(read(spark, folder, "documents"), SHARDS)
 
 
+def op9_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return pu_quality.quality_table(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_edit_fingerprints, op3_mixing, op8_sharding, op10_simhash)
+    f.__name__: f for f in (
+        op2_edit_fingerprints, op3_mixing, op6_toxicity, op8_sharding, op9_pu_quality, op10_simhash)
 }
