@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripwise.llm import edit_fingerprints, mixing, pu_quality, sharding, simhash, toxicity
+from tripwise.llm import edit_fingerprints, html_extraction, line_dedup, mixing, pu_quality, sharding, simhash, toxicity
 from tripwise.llm.common import read
 
 SHARDS = 40
@@ -20,10 +20,18 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_table(read(spark, folder, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.repeated_spans(read(spark, folder, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_table(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.extract_pages(read(spark, folder, "pages"))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_table(read(spark, folder, "documents"), SHARDS)
 
@@ -38,5 +46,5 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_edit_fingerprints, op3_mixing, op6_toxicity, op8_sharding, op9_pu_quality, op10_simhash)
+        op2_edit_fingerprints, op3_mixing, op5_line_dedup, op6_toxicity, op7_html_extraction, op8_sharding, op9_pu_quality, op10_simhash)
 }
