@@ -5,13 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tripwise.llm import edit_fingerprints, html_extraction, line_dedup, mixing, pu_quality, sharding, simhash, toxicity
+from tripwise.llm import (
+    decontamination, edit_fingerprints, html_extraction, line_dedup, mixing, pu_quality, sharding, simhash, token_counts, toxicity,
+)
 from tripwise.llm.common import read
 
 SHARDS = 40
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with two edits: a stretch a third of the way in gives way to the text's beginning, and a clause is
+    inserted in the middle of what results."""
+    n, text = F.char_length("text"), F.col("text")
+    edits = F.array(
+        F.struct(F.floor(n / 3).cast("bigint").alias("start"), F.floor(n / 20).cast("bigint").alias("length"),
+                 F.substring(text, 1, 60).alias("replacement")),
+        F.struct(F.floor(n / 2).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("length"),
+                 F.lit(", as amended in 2024,").alias("replacement")))
+    return token_counts.recount(token_counts.token_trees(read(spark, folder, "documents"), edits))
+
+
 def op2_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edit_fingerprints.fingerprint_edits(read(spark, folder, "documents"))
 
@@ -20,6 +35,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_table(read(spark, folder, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.repeated_spans(read(spark, folder, "documents"))
 
@@ -46,5 +65,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_edit_fingerprints, op3_mixing, op5_line_dedup, op6_toxicity, op7_html_extraction, op8_sharding, op9_pu_quality, op10_simhash)
+        op1_token_counts, op2_edit_fingerprints, op3_mixing, op4_decontamination, op5_line_dedup, op6_toxicity, op7_html_extraction, op8_sharding, op9_pu_quality, op10_simhash)
 }
+
+ORACLES: dict[str, str] = {}
