@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,46 +16,33 @@ from tripwise.llm.common import packed, whole
 
 BLOCK = 16
 PASSAGE = 2 * BLOCK
-DIMENSIONS = 128
+DIMENSIONS = 256
 EXTRA = 32
 POWER_STEPS = 1
-COSINE = 0.3
+COSINE = 0.5
 MATCH = 0.6
 ANSWER = 0.5
-ITEMS_AT_ONCE = 5_000
-REMEMBERED = 300_000
+PASSAGES_AT_ONCE = 384
 TEXTS_AT_ONCE = 200
 SEED = 11
-OTHER, NONE = -2, -1  # a word outside the vocabulary (before it gets its number); padding
-_MARKS = ".,;:!?\"'()[]{}<>*$%&#|-_=+~`/\\"
+_BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def plain_words(text: str | None) -> list[str]:
-    """Lower-cased words without marks at their ends; words of marks alone are dropped."""
-    return [w for w in (x.strip(_MARKS) for x in (text or "").lower().split()) if w]
+def plain_words(text: str | None) -> list[bytes]:
+    """Lower-cased words; ASCII marks separate words as white space does."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_BLANKS).split()
 
 
-class Vocabulary(dict):
-    """Numbers of raw words; forms with marks are looked up once and remembered. Words unknown to the benchmark get `other`."""
+class Vocabulary:
+    """Numbers the words of texts; words unknown to the benchmark get `other`."""
 
-    def __init__(self, numbers: dict[str, int], other: int):
-        super().__init__(numbers)
-        self.numbers, self.other = numbers, other
-
-    def __missing__(self, raw: str) -> int:
-        if len(self) >= REMEMBERED + len(self.numbers):
-            self.clear()
-            self.update(self.numbers)
-        plain = raw.strip(_MARKS)
-        self[raw] = number = self.numbers.get(plain, self.other) if plain else self.other + 1
-        return number
+    def __init__(self, numbers: dict[bytes, int]):
+        self.number, self.other = numbers.get, len(numbers)
 
     def encode(self, text: str) -> np.ndarray:
-        """Word numbers of a text; words of marks alone are left out."""
-        words = text.lower().split()
-        ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return ids[ids <= self.other]
+        words = plain_words(text)
+        return np.fromiter(map(self.number, words, repeat(self.other)), np.int32, len(words))
 
 
 @dataclass(frozen=True)
@@ -64,13 +52,13 @@ class Benchmark:
     ids: list[int]
     words: list[list[int]]
     answers: list[list[int]]
-    numbers: dict[str, int]
+    numbers: dict[bytes, int]
     passages: list[list[int]]
     item_of: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[int, str, str | None]]) -> Benchmark:
-        numbers: dict[str, int] = {}
+        numbers: dict[bytes, int] = {}
         words = [[numbers.setdefault(w, len(numbers)) for w in plain_words(text)] for _, text, _ in items]
         answers = []
         for (_, text, answer), own in zip(items, words):
@@ -103,7 +91,7 @@ def common_length(a: list[int], b: list[int]) -> int:
 def _frequencies(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = shared.value
-        vocabulary, found, docs = Vocabulary(numbers, len(numbers)), np.zeros(len(numbers) + 1, np.int64), 0
+        vocabulary, found, docs = Vocabulary(numbers), np.zeros(len(numbers) + 1, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
                 ids = vocabulary.encode(text.as_py())
@@ -114,7 +102,7 @@ def _frequencies(shared):
     return run
 
 
-def inverse_frequencies(documents: DataFrame, text_col: str, numbers: dict[str, int]) -> np.ndarray:
+def inverse_frequencies(documents: DataFrame, text_col: str, numbers: dict[bytes, int]) -> np.ndarray:
     """ln(N / documents with the term) over all documents; last, for words outside the benchmark, the mean of these."""
     shared = documents.sparkSession.sparkContext.broadcast(numbers)
     counts = documents.select(whole(F.col(text_col)).alias("text")).mapInArrow(_frequencies(shared), "term bigint, n bigint")
@@ -175,7 +163,7 @@ class Retriever:
 
     def __init__(self, bench: Benchmark, weights: np.ndarray, basis: np.ndarray, cosine: float, match: float, answer: float):
         self.bench, self.cosine, self.match, self.answer = bench, cosine, match, answer
-        self.vocabulary = Vocabulary(bench.numbers, len(bench.numbers))
+        self.vocabulary = Vocabulary(bench.numbers)
         terms = len(weights) - 1
         self.squares = np.append(weights ** 2, 0.0).astype(np.float32)  # other words, then padding
         self.known = self.squares.copy()
@@ -208,13 +196,20 @@ class Retriever:
         whole_mass = np.where(inside, whole_mass, self.squares[rows[:-1]].sum(1))
         known_mass = np.where(inside, known_mass, self.known[rows[:-1]].sum(1))
         able = (inside | alone) & (known_mass >= self.cosine ** 2 * whole_mass) & (known_mass > 0)
-        begins = begins[able]
-        for at in range(0, len(begins), 512):
-            part = begins[at:at + 512]
-            sums = self.vectors[rows[part]].sum(1)
+        needed = able.copy()
+        needed[1:] |= able[:-1] & inside[:-1]
+        rank = np.cumsum(needed) - 1
+        needed, able = np.flatnonzero(needed), begins[able]
+        for at in range(0, len(able), 2048):
+            part = able[at:at + 2048]
+            low, high = rank[part[0]], rank[part[-1] + inside[part[-1]]] + 1
+            sums = np.empty((high - low, self.vectors.shape[1]), np.float32)
+            for i, block in enumerate(rows[needed[low:high]]):
+                sums[i] = self.vectors[block[block < pad - 1]].sum(0)
+            own = sums[rank[part] - low]
             joined = inside[part]
-            sums[joined] += self.vectors[rows[part[joined] + 1]].sum(1)
-            near = (sums @ self.latent) / np.sqrt(whole_mass[part])[:, None]
+            own[joined] += sums[rank[part[joined] + 1] - low]
+            near = (own @ self.latent) / np.sqrt(whole_mass[part])[:, None]
             for i, j in zip(*np.nonzero(near >= self.cosine)):
                 text = int(text_of[part[i]])
                 yield text, int(part[i] - first[text]) * BLOCK, int(self.bench.item_of[j]), float(near[i, j])
@@ -267,27 +262,30 @@ def _searching(shared):
 
 def _retrievers(documents: DataFrame, benchmark: DataFrame, text_col: str, answer_col: str | None, dimensions: int,
                 cosine: float, match: float, answer: float):
-    """The broadcast search state for each block of ITEMS_AT_ONCE items: the stated query set, in blocks."""
+    """The broadcast search state for each block of items: the stated query set, in blocks of so many passages that the
+    latent space can tell them all apart."""
     spark = documents.sparkSession
     asked = F.col(answer_col) if answer_col else F.lit(None).cast("string")
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text", asked.alias("answer"))
-    block: list[tuple] = []
 
-    def prepare():
+    def prepare(block: list[tuple]):
         bench = Benchmark.of(block)
-        if not bench.passages:
-            return None
         weights = inverse_frequencies(documents, text_col, bench.numbers)
         table = spark.createDataFrame([(p,) for p in bench.passages], "ids array<int>")
         return spark.sparkContext.broadcast((bench, weights, latent_basis(table, weights, dimensions), cosine, match, answer))
 
+    block, passages = [], 0
     for row in items.orderBy("item_id", "text").toLocalIterator():
+        more = -(-len(plain_words(row["text"])) // BLOCK)
+        if not more:
+            continue
+        if block and passages + more > PASSAGES_AT_ONCE:
+            yield prepare(block)
+            block, passages = [], 0
         block.append(tuple(row))
-        if len(block) == ITEMS_AT_ONCE:
-            yield prepare()
-            block = []
+        passages += more
     if block:
-        yield prepare()
+        yield prepare(block)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", answer_col: str | None = None,
@@ -304,7 +302,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     never shuffled.
     """
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(F.col(text_col)).alias("text"))
-    found = [rows.mapInArrow(_searching(r), FOUND) for r in _retrievers(documents, benchmark, text_col, answer_col, dimensions, cosine, match, answer) if r]
+    found = [rows.mapInArrow(_searching(r), FOUND)
+             for r in _retrievers(documents, benchmark, text_col, answer_col, dimensions, cosine, match, answer)]
     out = documents.sparkSession.createDataFrame([], FOUND) if not found else found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -319,7 +318,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text
     settings = {"answer_col": None, "dimensions": DIMENSIONS, "cosine": COSINE, "match": MATCH, "answer": ANSWER} | settings
     state = packed(documents)
     rows = documents.select(state)
-    for shared in filter(None, _retrievers(documents, benchmark, text_col, **settings)):
+    for shared in _retrievers(documents, benchmark, text_col, **settings):
         def search(texts, shared=shared):
             finder, out = Retriever(*shared.value), []
             for at in range(0, len(texts), TEXTS_AT_ONCE):
