@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,42 +56,30 @@ def targets(totals: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> Dat
     return table.withColumn("target", target).drop("weight", "limit", "level")
 
 
-def _ln_factorial(n: Column) -> Column:
-    """ln n! by Stirling's series, seven steps up where it is exact to about ten digits."""
-    z = n + F.lit(8.0)
-    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z)
-    steps = F.lit(1.0)
-    for i in range(1, 8):
-        steps = steps * (n + i)
-    return series - F.log(steps)
-
-
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of `drawn` from `total`, of which `marked` are marked, are marked: the quantile of `u`, as bigint.
 
-    Walks the distribution up from twelve deviations below the mean; less than 1e-30 lies outside.
+    Walks the distribution up from twelve deviations below the mean to twelve above (less than 1e-30 lies outside), by the
+    ratio of each probability to the one before: once for the sum of the masses, once to the share `u` of it.
     """
     total, marked, drawn = total.cast("double"), marked.cast("double"), drawn.cast("double")
-    safe = F.greatest(total, F.lit(1.0))
-    mean = drawn * marked / safe
-    spread = 12 * F.sqrt(mean * (1 - marked / safe) * (total - drawn) / F.greatest(total - 1, F.lit(1.0))) + 1
-    low = F.ceil(F.greatest(F.lit(0.0), drawn - (total - marked), mean - spread)).cast("double")
-    high = F.floor(F.least(marked, drawn, mean + spread)).cast("double")
+    mean = drawn * marked / F.greatest(total, F.lit(1.0))
+    spread = 12 * F.sqrt(mean * (total - marked) * (total - drawn) / F.greatest(total * (total - 1), F.lit(1.0))) + 1
+    low = F.ceil(F.greatest(F.lit(0.0), drawn + marked - total, mean - spread)).cast("bigint")
+    high = F.floor(F.least(marked, drawn, mean + spread)).cast("bigint")
+    values = F.sequence(low, F.greatest(low, high))
 
-    def ln_choose(n: Column, k: Column) -> Column:
-        return _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
-
-    first = F.exp(ln_choose(marked, low) + ln_choose(total - marked, drawn - low) - ln_choose(total, drawn))
-    start = F.struct(low.alias("found"), F.lit(0.0).alias("below"), first.alias("mass"))
-
-    def step(acc: Column, x: Column) -> Column:
+    def ratio(x: Column) -> Column:
         x = x.cast("double")
-        more = (marked - x) * (drawn - x) / ((x + 1) * (total - marked - drawn + x + 1))
-        return F.struct(F.when(acc["below"] < u, x).otherwise(acc["found"]).alias("found"),
-                        (acc["below"] + acc["mass"]).alias("below"), (acc["mass"] * more).alias("mass"))
-
-    walk = F.aggregate(F.sequence(low.cast("bigint"), F.greatest(low, high).cast("bigint")), start, step)
-    return walk["found"].cast("bigint")
+        return (marked - x) * (drawn - x) / ((x + 1) * (total - marked - drawn + x + 1))
+
+    masses = F.aggregate(values, F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("mass")), lambda acc, x: F.struct(
+        (acc["sum"] + acc["mass"]).alias("sum"), (acc["mass"] * ratio(x)).alias("mass")))
+    wanted = u * masses["sum"]
+    start = F.struct(low.alias("found"), F.lit(0.0).alias("below"), F.lit(1.0).alias("mass"), wanted.alias("wanted"))
+    return F.aggregate(values, start, lambda acc, x: F.struct(
+        F.when(acc["below"] < acc["wanted"], x).otherwise(acc["found"]).alias("found"), (acc["below"] + acc["mass"]).alias("below"),
+        (acc["mass"] * ratio(x)).alias("mass"), acc["wanted"].alias("wanted")))["found"]
 
 
 def split_quotas(quotas: DataFrame, depth: int = TREE_DEPTH, seed: str = SEED) -> DataFrame:
