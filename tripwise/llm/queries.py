@@ -68,4 +68,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_counts, op2_edit_fingerprints, op3_mixing, op4_decontamination, op5_line_dedup, op6_toxicity, op7_html_extraction, op8_sharding, op9_pu_quality, op10_simhash)
 }
 
-ORACLES: dict[str, str] = {}
+MIXING_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source, coalesce('=' || source, 'null') AS stratum,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5('mix-1:' || doc_id || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key
+  FROM documents),
+sources AS (
+  SELECT source, stratum, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM rows GROUP BY source, stratum),
+weighted AS (
+  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][place % 3 + 1] AS weight, 3 * source_size AS most FROM sources),
+levels AS (
+  SELECT *, ((sum(source_size) OVER ())::BIGINT - coalesce(sum(most) OVER (
+      ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+    / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted),
+targets AS (
+  SELECT stratum, source_size, CASE WHEN level * weight >= most THEN most::DOUBLE
+    ELSE weight * max(CASE WHEN level * weight < most THEN level END) OVER () END AS target FROM levels),
+blocks AS (
+  SELECT stratum, key % 1024 AS block, sum(size)::BIGINT AS size,
+    ('0x' || substr(md5('mix-1-blocks:' || stratum || ':' || key % 1024), 1, 15))::BIGINT AS turn
+  FROM rows GROUP BY ALL),
+filled AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes,
+    (sum(size) OVER (PARTITION BY stratum ORDER BY turn, block ROWS UNBOUNDED PRECEDING))::BIGINT AS stop
+  FROM blocks JOIN targets USING (stratum)),
+planned AS (SELECT *, target - passes * source_size AS rest FROM filled),
+last_rows AS (
+  SELECT r.stratum, r.key, p.rest - (p.stop - p.size) AS room,
+    sum(r.size) OVER (PARTITION BY r.stratum ORDER BY r.key RANGE UNBOUNDED PRECEDING) AS upto
+  FROM rows r JOIN planned p ON r.stratum = p.stratum AND r.key % 1024 = p.block
+  WHERE p.stop - p.size < p.rest AND p.stop > p.rest),
+cuts AS (SELECT stratum, max(key) AS cut FROM last_rows WHERE upto <= room GROUP BY stratum)
+SELECT r.doc_id, r.size::BIGINT AS size, p.source_size, p.target,
+  (r.size * (p.passes + CASE WHEN p.stop <= p.rest OR (p.stop - p.size < p.rest AND r.key <= coalesce(c.cut, -1)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM rows r JOIN planned p ON r.stratum = p.stratum AND r.key % 1024 = p.block LEFT JOIN cuts c ON c.stratum = r.stratum
+"""
+
+# The byte-wise CRC-32 of the text is spelled out, as there is no such function in the oracle's SQL.
+SHARDING_SQL = r"""
+WITH byte_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+rows AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+      lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32,
+    ('0x' || substr(md5('shard-1:' || doc_id || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key
+  FROM documents, byte_table),
+ranked AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY key, doc_id, text_crc32) - 1)
+    / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS fraction, count(*) OVER () AS total FROM rows),
+placed AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS LAST, key, doc_id, text_crc32) - 1 AS place FROM ranked)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * 40 // total)::INTEGER AS shard,
+  (place - ((place * 40 // total) * total + 39) // 40)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM placed
+"""
+
+ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op8_sharding": SHARDING_SQL}
