@@ -69,6 +69,11 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     return masks
 
 
+def _differing(a: np.ndarray, b) -> np.ndarray:
+    """How many bits differ; the counts are taken unsigned, as those of negative numbers are of their absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def spanning_edges(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges that connect exactly what links within `radius` connect, at most one for each value.
 
@@ -80,7 +85,7 @@ def spanning_edges(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
         first, left = int(left[0]), left[1:]
         queue = [first]
         while queue and left.size:
-            near = np.bitwise_count(left ^ np.int64(queue.pop())) <= radius
+            near = _differing(left, np.int64(queue.pop())) <= radius
             if near.any():
                 hit = left[near].tolist()
                 left = left[~near]
@@ -96,7 +101,7 @@ def _bucket_edges(radius: int):
         sizes = ends - starts
         two = starts[sizes == 2]
         a, b = values[two], values[two + 1]
-        near = np.bitwise_count(a ^ b) <= radius
+        near = _differing(a, b) <= radius
         out = list(zip(a[near].tolist(), b[near].tolist()))
         for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist()):
             out.extend(spanning_edges(values[s:e], radius))
