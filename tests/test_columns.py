@@ -85,3 +85,8 @@ def test_filter_period(spark):
                                "t timestamp, v double")
     assert P.filter_period(df, "t", 10, 2021).count() == 1
     assert P.filter_period(df, "t", 10, 2021, other_years=True, not_null="v").count() == 1
+
+
+def test_undirected_pair_needs_both_names(spark):
+    df = spark.createDataFrame([("B", "A"), ("A", None), (None, "C")], "a string, b string")
+    assert [r[0] for r in one(df.select(C.pair_key_undirected(F.col("a"), F.col("b"))))] == ["A ↔ B", None, None]

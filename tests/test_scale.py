@@ -89,3 +89,21 @@ def test_identities_between_operators(spark):
 
 def test_lookup_subset_stays_small(spark):
     assert Lookup(spark.range(3), True).derive(lambda d: d.filter("id > 1")).small
+
+
+def test_rows_without_key_get_as_many_salts_as_they_need(spark):
+    left = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("k"), "id", F.create_map("id", "id").alias("m"))
+    right = spark.range(7).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    from tripwise.operators.staging import spread_hot_keys
+
+    dealt, repeated = spread_hot_keys(left, right, ["k"], hot_rows=20)
+    counts = dealt.groupBy("k", "_salt").count().filter("k is null").collect()
+    assert len(counts) > 40 and max(r["count"] for r in counts) < 60
+    assert dealt.join(repeated, ["k", "_salt"], "left").count() == 3000
+
+
+def test_folds_keep_rows_without_a_time(spark):
+    from tripwise.operators.folds import time_series_folds
+
+    df = spark.sql("select id as station_id, case when id % 10 > 0 then timestamp_seconds(id * 3600) end as time from range(80)")
+    assert time_series_folds(df, 3).groupBy("fold").count().count() == 4 and time_series_folds(df, 3).count() == 80

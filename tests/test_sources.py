@@ -93,3 +93,23 @@ def test_model_round_trip_and_missing_model(spark, tmp_path):
     assert again.transform(df).exceptAll(model.transform(df).select(again.transform(df).columns)).count() == 0
     with pytest.warns(UserWarning, match="no model"):
         assert writers.load_model(str(tmp_path / "absent")) is None
+
+
+def test_missing_year_is_told(spark, tmp_path):
+    (tmp_path / "2023.csv").write_text("a,b,c,d,e,f,g,h\n2023-01-01 00:00:00,2023-01-01 00:10:00,1,A,2,B,100,600\n")
+    with pytest.warns(UserWarning, match="2022"):
+        assert readers.read_trips_multi(spark, [str(tmp_path / "2022.csv"), str(tmp_path / "2023.csv")]).count() == 1
+
+
+def test_unreadable_number_stops_or_becomes_null(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("a,b,c,d,e,f,g,h\n2023-01-01 00:00:00,2023-01-01 00:10:00,1,A,2,B,far,600\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_trips_multi(spark, [str(tmp_path / "bad.csv")]).collect()
+    assert readers.read_trips_multi(spark, [str(tmp_path / "bad.csv")], mode="PERMISSIVE").first()["distance"] is None
+
+
+def test_damaged_model_is_an_error(spark, tmp_path):
+    (tmp_path / "m" / "metadata").mkdir(parents=True)
+    (tmp_path / "m" / "metadata" / "part-00000").write_text("{}")
+    with pytest.raises(Exception):
+        writers.load_model(str(tmp_path / "m"))

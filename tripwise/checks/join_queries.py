@@ -206,7 +206,10 @@ def _(t):
 
 @check("A20_top_routes", _ROUTES_SQL.format(extra=", r.pair_key || ': ' || r.trip_count || ' trips' as label"))
 def _(t):
-    return spatial.top_routes(t.clean).select(
+    # trips with one name unknown count for no route
+    half = t.clean.withColumn("return_name", F.lit(None).cast("string"))
+    other = t.clean.withColumn("departure_name", F.lit(None).cast("string"))
+    return spatial.top_routes(t.clean.unionByName(half.unionByName(other).filter("ride_id % 5 = 0"))).select(
         "pair_key", "station_a", "station_b", "trip_count", *R(*_ENDS), "label"
     )
 

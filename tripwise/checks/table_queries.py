@@ -13,7 +13,7 @@ from tripwise.checks.registry import check
 import tripwise.checks.views  # noqa: F401  (registers the views the SQL uses)
 from tripwise.functions import columns as C
 from tripwise.functions import timeparts as P
-from tripwise.operators.learning import SELECTED_FEATURES, categorize, fit_regressor, prepare, xy_split
+from tripwise.operators.learning import CATEGORIES, SELECTED_FEATURES, categorize, fit_regressor, predict, prepare, xy_split
 from tripwise.operators.staging import fresh_path
 from tripwise.plans.cleaning import clean_rides
 from tripwise.sources import readers, schemas, writers
@@ -29,6 +29,18 @@ def rides_out(df, *extra):
     return df.select(*extra, *[F.col(c).alias("return_ts" if c == "return" else c) for c in RIDE_COLUMNS])
 
 
+DERIVED = tuple(c for c in SELECTED_FEATURES if c.startswith(("dep_roll", "dep_same")) or c in ("temperature", "precipitation", "wind_speed"))
+
+
+def rounded(df, columns, *extra):
+    """All the columns, computed floats to four places."""
+    return df.select(*extra, *[F.round(c, 4).alias(c) if c in DERIVED else F.col(c) for c in columns])
+
+
+def rounded_sql(columns) -> str:
+    return ", ".join(f"round({c}, 4) as {c}" if c in DERIVED else c for c in columns)
+
+
 def raw_text(t: Tables):
     """Trips as they are landed: upper-case headers, times as text with some unreadable, padded names."""
     r = t.rides
@@ -57,8 +69,8 @@ def _(t):
 
 
 @check("S2_read_trips_multi", """
-select strftime(departure, '%Y-%m-%d %H:%M:%S.%f') as departure, departure_id, departure_name, return_id, return_name,
-  distance, duration from rides""")
+select strftime(departure, '%Y-%m-%d %H:%M:%S.%f') as departure, strftime(return_ts, '%Y-%m-%d %H:%M:%S.%f') as return_ts,
+  departure_id, departure_name, return_id, return_name, distance, duration from rides""")
 def _(t):
     base = fresh_path(t.spark, "trips-by-year")
     text = {c: F.date_format(c, writers.CSV_TIME) for c in ("departure", "return")}
@@ -67,7 +79,7 @@ def _(t):
         part = landed.filter(F.col("ride_id") % 2 == half).select(*RIDE_COLUMNS).toDF(*[c.title() for c in RIDE_COLUMNS])
         writers.write_table(part, f"{base}/{2023 + half}", "csv")
     years = [f"{base}/{year}" for year in range(2022, 2026)]
-    return readers.read_trips_multi(t.spark, years).drop("return")
+    return readers.read_trips_multi(t.spark, years).withColumnRenamed("return", "return_ts")
 
 
 def zipped(trips):
@@ -85,12 +97,12 @@ def zipped(trips):
 
 
 @check("S3_read_trips_zip", """
-select strftime(departure, '%Y-%m-%d %H:%M:%S.%f') as departure, departure_id, departure_name, return_id, return_name,
-  distance, duration from rides""")
+select strftime(departure, '%Y-%m-%d %H:%M:%S.%f') as departure, strftime(return_ts, '%Y-%m-%d %H:%M:%S.%f') as return_ts,
+  departure_id, departure_name, return_id, return_name, distance, duration from rides""")
 def _(t):
     text = {c: F.date_format(c, writers.CSV_TIME) for c in ("departure", "return")}
     landed = t.rides.select(*RIDE_COLUMNS).withColumns(text)
-    return readers.unzip_trips(zipped(landed)).drop("return")
+    return readers.unzip_trips(zipped(landed)).withColumnRenamed("return", "return_ts")
 
 
 @check("S4_parse_station_json", """
@@ -175,27 +187,27 @@ def _(t):
 @check("S9_save_load_model", "select station_id, time, true as same from features")
 def _(t):
     ready = prepare(t.features)
-    model = fit_regressor(ready, ("dep_lag_1", "dep_lag_24", "hour"), max_iter=2, max_depth=3)
+    model = fit_regressor(ready, max_iter=2, max_depth=3)
     path = fresh_path(t.spark, "model")
     writers.save_model(model, path)
-    again = writers.load_model(path).transform(model.transform(ready).withColumnRenamed("prediction", "first").drop("features"))
-    return again.select("station_id", "time", (F.col("first") == F.col("prediction")).alias("same"))
+    both = predict(writers.load_model(path), predict(model, ready, "first"), "second")
+    return both.select("station_id", "time", (F.col("first") == F.col("second")).alias("same"))
 
 
-@check("S10_require_columns", "select station_id, hour, weekday, month, is_weekend, year from features")
+@check("S10_require_columns", f"select {rounded_sql(SELECTED_FEATURES)} from features")
 def _(t):
-    return C.require_columns(t.features, SELECTED_FEATURES).select(
-        "station_id", "hour", "weekday", "month", "is_weekend", "year"
-    )
+    return rounded(C.require_columns(t.features, SELECTED_FEATURES), SELECTED_FEATURES)
 
 
 # ---- projections, filters, scalar functions ----------------------------------------------------------
 
 
-@check("P1_lowercase_columns", """
-select ride_id, departure_id, return_id, distance, duration from rides""")
+@check("P1_lowercase_columns", r"""
+select ride_id, case when ride_id % 50 = 0 then 'unknown' else strftime(departure, '%Y-%m-%d %H:%M:%S.%f') end as departure,
+  strftime(return_ts, '%Y-%m-%d %H:%M:%S.%f') as return_ts, departure_id, ' ' || chr(9) || departure_name || chr(10) || ' ' as departure_name,
+  return_id, return_name || '  ' as return_name, distance, duration from rides""")
 def _(t):
-    return C.lowercase_columns(raw_text(t)).select("ride_id", "departure_id", "return_id", "distance", "duration")
+    return C.lowercase_columns(raw_text(t)).withColumnRenamed("return", "return_ts")
 
 
 @check("P2_strip_names", "select ride_id, departure_name, return_name from rides")
@@ -347,20 +359,17 @@ def _(t):
 
 
 @check("P23_xy_split", """
-select station_id, departures as y, round(dep_same_hour_mean_7d, 4) as dep_same_hour_mean_7d, dep_lag_1, hour,
-  round(dep_roll_mean_24, 4) as dep_roll_mean_24 from features""")
+select departures as y, {columns} from features""".format(columns=rounded_sql(SELECTED_FEATURES)))
 def _(t):
-    ready = xy_split(t.features, SELECTED_FEATURES, "departures")
-    return ready.select(
-        "station_id", "y", F.round("dep_same_hour_mean_7d", 4).alias("dep_same_hour_mean_7d"), "dep_lag_1", "hour",
-        F.round("dep_roll_mean_24", 4).alias("dep_roll_mean_24"),
-    )
+    return rounded(xy_split(t.features, SELECTED_FEATURES, "departures"), SELECTED_FEATURES, "y")
 
 
 @check("P24_categorize", """
-select station_id, time, cast(dense_rank() over (order by station_id) - 1 as double) as station_id_index from features""")
+select station_id, time, {indexes} from features""".format(indexes=", ".join(
+    f"cast(dense_rank() over (order by cast({c} as varchar)) - 1 as double) as {c}_index" for c in CATEGORIES)))
 def _(t):
-    return categorize(t.features, ("station_id",)).transform(t.features).select("station_id", "time", "station_id_index")
+    indexed = categorize(t.features, CATEGORIES).transform(t.features)
+    return indexed.select("station_id", "time", *[f"{c}_index" for c in CATEGORIES])
 
 
 _ORDER_TIME = "o_orderdate + to_hours(o_orderkey % 24)"
@@ -394,11 +403,14 @@ def _(t):
 _UNDIRECTED = "least(departure_name, return_name) || ' ↔ ' || greatest(departure_name, return_name)"
 
 
-@check("P28_pair_key_undirected", f"select ride_id, {_UNDIRECTED} as pair from unified")
+@check("P28_pair_key_undirected", f"""
+select ride_id, {_UNDIRECTED} as pair from unified union all
+select -ride_id, case when ride_id % 3 = 0 then {_UNDIRECTED} end as pair from unified""")
 def _(t):
-    return t.unified.select(
-        "ride_id", C.pair_key_undirected(F.col("departure_name"), F.col("return_name")).alias("pair")
-    )
+    name = F.when(F.col("ride_id") % 3 != 1, F.col("departure_name")), F.when(F.col("ride_id") % 3 != 2, F.col("return_name"))
+    gaps = t.unified.select((-F.col("ride_id")).alias("ride_id"), name[0].alias("departure_name"), name[1].alias("return_name"))
+    rides = t.unified.select("ride_id", "departure_name", "return_name").unionByName(gaps)
+    return rides.select("ride_id", C.pair_key_undirected(F.col("departure_name"), F.col("return_name")).alias("pair"))
 
 
 @check("P29_pair_key_split", """

@@ -47,7 +47,7 @@ def tag_source(df: DataFrame, source: str, blank_id: bool = False) -> DataFrame:
 
 def zero_pad_id(value: Column, width: int = 3) -> Column:
     """Station number as zero-padded text. Ids longer than the width stay whole; blank or null is -01."""
-    number = F.coalesce(F.nullif(F.trim(value.cast("string")), F.lit("")).cast("int"), F.lit(-1))
+    number = F.coalesce(F.nullif(F.trim(value.cast("string")), F.lit("")).cast("bigint"), F.lit(-1))
     return F.format_string(f"%0{width}d", number)
 
 
@@ -109,8 +109,9 @@ def pair_key_directed(start: Column, end: Column) -> Column:
 
 
 def pair_ends(first: Column, second: Column) -> tuple[Column, Column]:
-    """The two names of an undirected pair in code-point order."""
-    return F.least(first, second), F.greatest(first, second)
+    """The two names of an undirected pair in code-point order; both null unless both are known."""
+    known = first.isNotNull() & second.isNotNull()
+    return F.when(known, F.least(first, second)), F.when(known, F.greatest(first, second))
 
 
 def pair_key_undirected(first: Column, second: Column) -> Column:

@@ -17,19 +17,20 @@ def sample_per_station(df: DataFrame, n: int = 50, key: str = "station_id", time
 def time_ordinal(df: DataFrame, time: str = "time", key: str = "station_id") -> DataFrame:
     """0-based `ordinal` of each row in the order (time, station).
 
-    Rows before this hour come from hourly counts, summed inside months and then over the month totals,
+    Rows without a time come first, as in the order of Spark. Rows before this hour come from hourly counts, summed inside months and then over the month totals,
     so the running sums see one row per hour and per month, never the table itself.
     """
     hours = df.groupBy(time).agg(F.count(F.lit(1)).alias("_n")).withColumn("_month", F.date_trunc("month", F.col(time)))
     months = hours.groupBy("_month").agg(F.sum("_n").alias("_m"))
     earlier = Window.orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
-    months = months.select("_month", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_base"))
+    months = months.select(F.col("_month").alias("_of"), F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_month").orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    starts = hours.join(months, "_month").select(
+    starts = hours.join(months, F.col("_month").eqNullSafe(F.col("_of"))).select(
         time, (F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_start")
-    )
+    ).withColumnRenamed(time, "_hour")
     place = F.row_number().over(Window.partitionBy(time).orderBy(key))
-    return df.join(starts, time).withColumn("ordinal", F.col("_start") + place - 1).drop("_start").select(
+    joined = df.join(starts, F.col(time).eqNullSafe(F.col("_hour")))
+    return joined.withColumn("ordinal", F.col("_start") + place - 1).select(
         *df.columns, "ordinal"
     )
 

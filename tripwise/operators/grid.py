@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwise.functions.timeparts import SEASON_MONTHS, floor_hour, in_months
+from tripwise.operators.staging import as_lookup, lookup_join
 
 HOUR = "interval 1 hour"
 
@@ -22,9 +23,9 @@ def top_n_stations(trips: DataFrame, n: int = 100, column: str = "departure_id")
 
 
 def semi_join_top(trips: DataFrame, top: DataFrame, column: str = "departure_id") -> DataFrame:
-    """Trips of the chosen stations. `top` holds at most the n rows asked for, so it is broadcast."""
-    keep = top.select(F.col("station_id").alias(column))
-    return trips.join(F.broadcast(keep), column, "left_semi")
+    """Trips of the chosen stations, whose table is measured before it is broadcast."""
+    keep = as_lookup(top.select(F.col("station_id").alias(column)), stage="chosen-stations")
+    return lookup_join(trips, keep, column, "left_semi")
 
 
 def hourly_departures(trips: DataFrame, time: str = "departure", station: str = "departure_id") -> DataFrame:
@@ -99,11 +100,11 @@ def fill_series(counts: DataFrame, bounds: Column, months=SEASON_MONTHS, value:
 
 
 def dedupe_keys(df: DataFrame, keys, order) -> DataFrame:
-    """One row per key: the first in the given order, chosen by an aggregate that combines on the map side."""
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*rest)
-    first = F.min_by(row, F.struct(*[F.col(c) for c in order], row)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
+    """One row per key: the first in the given order, ties by the other columns. Each task keeps one row of a key before
+    the shuffle."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *rest))
+    return df.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
 def join_weather_exact(hourly: DataFrame, weather: DataFrame, order=()) -> DataFrame:

@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,7 +56,8 @@ TUNED_POSITIVE_REGRESSOR = {
 }
 
 TARGET = "departures"
-CATEGORIES = ("station_id",)
+CATEGORIES = ("station_id", "hour", "weekday", "month")
+ENCODED = "station_id"  # as many values as there are stations: enters as the mean of the target
 MAX_BINS = 32
 CHECKPOINT_EVERY = 10  # boosting rounds
 
@@ -64,17 +65,20 @@ CHECKPOINT_EVERY = 10  # boosting rounds
 def tree_settings(params: dict) -> dict:
     """Translate a parameter set to Spark's boosted trees.
 
-    Trees grow level by level here, so a leaf limit becomes the depth that holds as many leaves.
+    Trees grow level by level here, so a leaf limit becomes the depth that holds as many leaves. A bagging fraction
+    leaves out rows only together with a bagging frequency above zero, which is where its published meaning begins.
     """
     depth = int(params.get("max_depth", 5))
     if "num_leaves" in params:
         depth = min(depth, max(1, math.ceil(math.log2(int(params["num_leaves"])))))
     out = {"maxDepth": depth}
     names = {"n_estimators": ("maxIter", int), "learning_rate": ("stepSize", float),
-             "bagging_fraction": ("subsamplingRate", float), "min_child_samples": ("minInstancesPerNode", int)}
+             "min_child_samples": ("minInstancesPerNode", int)}
     for source, (name, kind) in names.items():
         if source in params:
             out[name] = kind(params[source])
+    if params.get("bagging_freq", 0) > 0 and "bagging_fraction" in params:
+        out["subsamplingRate"] = float(params["bagging_fraction"])
     if "feature_fraction" in params:
         out["featureSubsetStrategy"] = str(float(params["feature_fraction"]))
     return out
@@ -100,29 +104,31 @@ def categorize(df: DataFrame, columns=CATEGORIES):
 
 
 def _stages(columns, estimator) -> Pipeline:
-    """Index the station, assemble the vector, boost. Calendar parts enter as ordered numbers: they are
-    small integers whose order carries meaning, and splits on them need no category sets."""
+    """Index the categories, encode the station, assemble the vector, boost.
+
+    Hour, weekday and month are categories of fixed number. The station enters as the mean target of its training
+    rows, one number whatever the number of stations, so the trees' bins do not depend on the size of the data.
+    """
     text = [c for c in columns if c in CATEGORIES]
     stages = []
     if text:
         stages.append(StringIndexer(inputCols=text, outputCols=[f"{c}_index" for c in text], handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-    inputs = [f"{c}_index" if c in text else c for c in columns]
+    if ENCODED in text:
+        label = estimator.getLabelCol()
+        stages.append(TargetEncoder(inputCols=[f"{ENCODED}_index"], outputCols=[f"{ENCODED}_mean"], labelCol=label,
+                                    targetType="binary" if label == "active" else "continuous", handleInvalid="keep"))
+        # an expression sheds the attribute of the index, or the mean would be taken for a category
+        stages.append(SQLTransformer(statement=f"SELECT *, {ENCODED}_mean + 0.0D AS {ENCODED}_level FROM __THIS__"))
+    inputs = [f"{c}_level" if c == ENCODED else f"{c}_index" if c in text else c for c in columns]
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), estimator])
 
 
-def _max_bins(train: DataFrame, columns) -> int:
-    if not set(columns) & set(CATEGORIES):
-        return MAX_BINS
-    stations = train.select("station_id").distinct().count()
-    return max(MAX_BINS, stations + 2)
-
-
 def _boosting(kind, label: str, train: DataFrame, columns, max_iter, max_depth, seed, params):
     ensure_checkpoint_dir(train.sparkSession)
     settings = {"maxIter": max_iter, "maxDepth": max_depth, **tree_settings(params or {"max_depth": max_depth})}
     return kind(
-        labelCol=label, featuresCol="features", seed=seed, maxBins=_max_bins(train, columns), maxMemoryInMB=1024,
+        labelCol=label, featuresCol="features", seed=seed, maxBins=MAX_BINS, maxMemoryInMB=1024,
         checkpointInterval=CHECKPOINT_EVERY, **settings,
     )
 

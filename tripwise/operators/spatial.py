@@ -35,7 +35,12 @@ def full_outer_counts(departures: DataFrame, returns: DataFrame) -> DataFrame:
 
 
 def station_total_trips(trips: DataFrame, sort: bool = True) -> DataFrame:
-    counts = full_outer_counts(station_departures(trips), station_returns(trips))
+    """Departures, returns and their sum per (name, lat, lon): both ends of a trip are rows of one scan."""
+    names = ("station", "lat", "lon")
+    ends = [F.struct(*[F.col(f"{side}_{c}").alias(n) for c, n in zip(("name", "lat", "lon"), names)], F.lit(leaves).alias("leaves"))
+            for side, leaves in (("departure", True), ("return", False))]
+    rows = trips.select(F.inline(F.array(*ends))).na.drop("any", subset=list(names))
+    counts = rows.groupBy(*names).agg(F.count_if("leaves").alias("departures"), F.count_if(~F.col("leaves")).alias("returns"))
     total = counts.withColumn("total_trips", F.col("departures") + F.col("returns"))
     return total.orderBy(F.desc("total_trips"), "station", "lat", "lon") if sort else total
 
@@ -80,10 +85,10 @@ def top_route_counts(trips: DataFrame, n: int = 20) -> DataFrame:
     a, b = pair_ends(F.col("departure_name"), F.col("return_name"))
     return (
         trips.select(a.alias("station_a"), b.alias("station_b"))
+        .filter(F.col("station_a").isNotNull())
         .groupBy("station_a", "station_b")
         .agg(F.count(F.lit(1)).alias("trip_count"))
         .withColumn("pair_key", pair_key_undirected(F.col("station_a"), F.col("station_b")))
-        .filter(F.col("pair_key").isNotNull())
         .orderBy(F.desc("trip_count"), "pair_key")
         .limit(n)
     )

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
-SALTS = 32
 
 
 @lru_cache(maxsize=1)
@@ -69,8 +68,11 @@ def as_lookup(df: DataFrame, stage: str | None = None, max_rows: int = MAX_BROAD
     table = materialize(df, stage) if stage else df
     width = F.lit(0)
     for field in table.schema.fields:
-        text = isinstance(field.dataType, (T.StringType, T.BinaryType))
-        width = width + (F.coalesce(F.octet_length(field.name), F.lit(0)) if text else F.lit(0)) + F.lit(16)
+        value = F.col(field.name)
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(value)  # nested values weigh about what they take as text
+        measured = isinstance(field.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
+        width = width + (F.coalesce(F.octet_length(value), F.lit(0)) if measured else F.lit(0)) + F.lit(16)
     rows, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return Lookup(table, rows <= max_rows and size <= max_bytes)
 
@@ -99,18 +101,21 @@ def spread_hot_keys(left: DataFrame, right: DataFrame, keys, hot_rows: int = HOT
 
     Hot keys are counted first (a map-side combined aggregate). There are at most rows / hot_rows of them,
     and their table is measured before it is broadcast. The salt depends on the row and on the partition it
-    is read from, so exact copies are dealt out too and a repeated task makes the same choice.
+    is read from, so copies in different partitions are dealt out too and a repeated task makes the same choice; copies
+    in one partition share a salt.
     """
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     salts = F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")
     hot = as_lookup(counts.select(*keys, salts), stage="hot-keys")
     table = F.broadcast(hot.frame) if hot.small else hot.frame
-    # Rows without a key match nothing; they only have to be dealt out.
+    # Rows without a key match nothing; they only have to be dealt out, over as many salts as their number needs.
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    width = F.when(no_key, F.lit(SALTS)).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
-    place = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), width.cast("bigint")).cast("int")
+    without = hot.frame.filter(no_key).agg(F.coalesce(F.sum("_salts"), F.lit(1))).scalar()
+    width = F.when(no_key, without).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
+    plain = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    place = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), width.cast("bigint")).cast("int")
     dealt = left.join(table, keys, "left").withColumn("_salt", place).drop("_salts")
     each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     repeated = right.join(table, keys, "left").withColumn("_salt", each).drop("_salts")

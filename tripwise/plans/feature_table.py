@@ -60,7 +60,7 @@ def _grid(trips: DataFrame, num_stations: int | None, months) -> tuple[DataFrame
         kept = trips.filter(F.col("departure_id").isNotNull())
     else:
         busiest = named.orderBy(F.desc("trips"), "station_id").limit(num_stations)
-        stations = Lookup(materialize(busiest, "busiest-stations"), small=True)
+        stations = as_lookup(busiest, stage="busiest-stations")
         kept = semi_join_top(trips, stations.frame)
     counts = hourly_departures(kept)
     locations = stations.derive(lambda s: s.select("station_id", *DETAILS))

@@ -5,6 +5,7 @@ Payload files hold one JSON document each; `multi_line=False` reads files with o
 from __future__ import annotations
 
 import io
+import warnings
 import zipfile
 from collections.abc import Iterable, Iterator
 
@@ -20,17 +21,22 @@ from tripwise.sources.schemas import NODE_PAYLOAD, RAW_TRIPS, STATION_PAYLOAD, W
 ROWS_PER_CHUNK = 50_000
 
 
-def read_csv_typed(spark: SparkSession, path, schema: T.StructType, **options) -> DataFrame:
-    """CSV with a header and a fixed schema; a missing path fails when the plan is made."""
-    return spark.read.schema(schema).options(header=True, enforceSchema=False, **options).csv(path)
+def read_csv_typed(spark: SparkSession, path, schema: T.StructType, mode: str = "FAILFAST", **options) -> DataFrame:
+    """CSV with a header and a fixed schema; a missing path fails when the plan is made.
 
+    A value that does not fit its type stops the job; with `mode="PERMISSIVE"` it becomes null.
+    """
+    return spark.read.schema(schema).options(header=True, enforceSchema=False, mode=mode, **options).csv(path)
 
-def read_trips_multi(spark: SparkSession, paths: Iterable[str], schema: T.StructType = RAW_TRIPS) -> DataFrame:
+
+def read_trips_multi(spark: SparkSession, paths: Iterable[str], schema: T.StructType = RAW_TRIPS,
+                     mode: str = "FAILFAST") -> DataFrame:
     """One scan over the trip files of several years. Headers differ between years, so names go by position.
-    A path that does not exist is skipped; none at all is an error."""
+    A path that does not exist is skipped with a warning; none at all is an error. Unreadable numbers stop the job
+    unless `mode` is PERMISSIVE, which makes them null."""
 
     def scan(p):
-        return spark.read.schema(schema).options(header=True, enforceSchema=True).csv(p)
+        return spark.read.schema(schema).options(header=True, enforceSchema=True, mode=mode).csv(p)
 
     present = []
     for path in paths:
@@ -39,6 +45,7 @@ def read_trips_multi(spark: SparkSession, paths: Iterable[str], schema: T.Struct
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            warnings.warn(f"no trip files at {path}", stacklevel=2)
             continue
         present.append(path)
     if not present:
@@ -68,6 +75,8 @@ def unzip_trips(archives: DataFrame, schema: T.StructType = RAW_TRIPS) -> DataFr
 
 
 def read_trips_zip(spark: SparkSession, path, schema: T.StructType = RAW_TRIPS) -> DataFrame:
+    """Trips of every zip archive at the path. An archive is one task and must be smaller than 2 GiB, the limit of
+    the binary reader."""
     return unzip_trips(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path), schema)
 
 

@@ -6,7 +6,7 @@ import warnings
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,13 +40,13 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel | None:
-    """The stored model, or None with a warning when there is none."""
+    """The stored model, or None with a warning when the path holds no model's metadata; a damaged model is an error."""
+    spark = SparkSession.getActiveSession()
     try:
-        return PipelineModel.load(path)
-    except Exception as error:
-        text = str(error)
-        missing = isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
-        if missing or "does not exist" in text or "Input path" in text:
-            warnings.warn(f"no model found at {path}", stacklevel=2)
-            return None
-        raise
+        spark.read.text(f"{path}/metadata")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"no model found at {path}", stacklevel=2)
+        return None
+    return PipelineModel.load(path)
