@@ -77,6 +77,7 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = documents.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"), whole(F.col(text_col)).alias("text"))
     table = materialize(rows.mapInArrow(_unit_rows, UNIT_SCHEMA), "units")
     firsts = table.groupBy("high", "low").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    firsts = materialize(firsts, "repeated-units")  # in a join with a written table Spark can split the occurrences of one digest
     repeats = table.join(firsts, ["high", "low"]).filter("again or doc > first").select("doc", "nth", "start", "stop", "words", "first")
     repeats = repeats.distinct()  # rows that share an id would break each other's runs
     in_doc = Window.partitionBy("doc").orderBy("nth", "start")
