@@ -19,9 +19,9 @@ DISCOUNT = 0.75
 MARGIN = 1.0
 FIT_ROWS = 10_000
 CALIBRATION_PARTS = 5
-WORDS_AT_ONCE = 200_000
+WORDS_AT_ONCE = 500_000
 ALPHABET = 1000
-START, END = "\x02", "\x03"
+NOTHING, START, END = "\x01", "\x02", "\x03"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -34,40 +34,44 @@ def top_grams(word: str) -> Iterator[str]:
     return (padded[max(0, j - ORDER + 1):j + 1] for j in range(1, len(padded)))
 
 
-def _continuations(words) -> set[tuple[str, str]]:
-    """Pairs of a gram of fewer than ORDER characters and a character that stands before it ('' at a word's start)."""
-    pairs = set()
+def _continuations(words) -> set[str]:
+    """Grams of fewer than ORDER characters, each behind the character that stands before it (NOTHING at a word's start)."""
+    found: set[str] = set()
     for word in words:
-        padded = START + word + END
-        for j in range(1, len(padded)):
-            for i in range(max(0, j - ORDER + 2), j + 1):
-                pairs.add((padded[i:j + 1], padded[i - 1] if i else ""))
-    return pairs
+        padded = NOTHING + START + word + END
+        for n in range(2, ORDER + 1):
+            found.update([padded[i:i + n] for i in range(n == 2, len(padded) - n + 1)])
+    return found
 
 
 def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
-def _corpus_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs of the words of all texts; words are gathered up to a fixed number, pairs are given out as they come."""
+def _corpus_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of all texts, each once for every WORDS_AT_ONCE different ones."""
     words: set[str] = set()
     for batch in batches:
         for text in batch.column(0):
             words.update(words_of(text.as_py()))
             if len(words) >= WORDS_AT_ONCE:
-                pairs = list(_continuations(words))
+                yield _batch([list(words)], ["word"])
                 words.clear()
-                yield _batch([[p[0] for p in pairs], [p[1] for p in pairs]], ["gram", "before"])
-    pairs = list(_continuations(words))
-    if pairs:
-        yield _batch([[p[0] for p in pairs], [p[1] for p in pairs]], ["gram", "before"])
+    if words:
+        yield _batch([list(words)], ["word"])
+
+
+def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = list(_continuations(batch.column(0).to_pylist()))
+        yield _batch([pa.array([p[1:] for p in pairs], pa.string()), pa.array([p[0] for p in pairs], pa.string())], ["gram", "before"])
 
 
 def shared_counts(documents: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Backoff counts over all documents, which both classes share: `gram`, `n` (distinct characters before it), and for
     each context `gram`, `total`, `kinds` over the characters that follow it."""
-    pairs = documents.select(whole(F.col(text_col)).alias("text")).mapInArrow(_corpus_pairs, "gram string, before string").distinct()
+    words = documents.select(whole(F.col(text_col)).alias("text")).mapInArrow(_corpus_words, "word string").distinct()
+    pairs = words.mapInArrow(_word_pairs, "gram string, before string").distinct()
     grams = pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     context = F.expr("substring(gram, 1, char_length(gram) - 1)")
     contexts = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
