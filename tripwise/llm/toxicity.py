@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ MARGIN = 1.0
 FIT_ROWS = 10_000
 CALIBRATION_PARTS = 5
 WORDS_AT_ONCE = 500_000
+LETTERS_AT_ONCE = 1_000_000
+SHIFT = np.uint64(21)  # a code point and one fit in 21 bits
 ALPHABET = 1000
 NOTHING, START, END = "\x01", "\x02", "\x03"
 
@@ -34,13 +37,29 @@ def top_grams(word: str) -> Iterator[str]:
     return (padded[max(0, j - ORDER + 1):j + 1] for j in range(1, len(padded)))
 
 
-def _continuations(words) -> set[str]:
+def _letters(words: list[str], lead: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """All words between `lead` and END in one string, its code points (one more, so that 0 is free), and the place of each
+    character in its word."""
+    joined = "".join([lead + word + END for word in words])
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + len(lead) + 1
+    return joined, points, np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _continuations(words: list[str]) -> set[str]:
     """Grams of fewer than ORDER characters, each behind the character that stands before it (NOTHING at a word's start)."""
+    joined, points, place = _letters(words, NOTHING + START)
     found: set[str] = set()
-    for word in words:
-        padded = NOTHING + START + word + END
-        for n in range(2, ORDER + 1):
-            found.update([padded[i:i + n] for i in range(n == 2, len(padded) - n + 1)])
+    numbers = points  # one for each string that ends here: equal for equal strings
+    for n in range(2, ORDER + 1):
+        ends = np.flatnonzero(place >= n - 1)
+        codes, kinds = pd.factorize(numbers[ends - 1] << SHIFT | points[ends])
+        an_end = np.empty(len(kinds), np.int64)
+        an_end[codes] = ends
+        found.update([joined[i - n + 1:i + 1] for i in an_end.tolist()])
+        numbers = np.zeros(len(points), np.uint64)
+        numbers[ends] = codes
+    found.discard(NOTHING + START)  # the marks alone
     return found
 
 
@@ -62,9 +81,18 @@ def _corpus_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: set[str] = set()
+
+    def pairs() -> pa.RecordBatch:
+        return _batch([pa.array([p[1:] for p in found], pa.string()), pa.array([p[0] for p in found], pa.string())], ["gram", "before"])
+
     for batch in batches:
-        pairs = list(_continuations(batch.column(0).to_pylist()))
-        yield _batch([pa.array([p[1:] for p in pairs], pa.string()), pa.array([p[0] for p in pairs], pa.string())], ["gram", "before"])
+        found |= _continuations(batch.column(0).to_pylist())
+        if len(found) >= WORDS_AT_ONCE:
+            yield pairs()
+            found.clear()
+    if found:
+        yield pairs()
 
 
 def shared_counts(documents: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -131,35 +159,99 @@ def log_ratios(of_class: dict[int, dict[str, int]], grams: dict[str, int], conte
     return seen, other
 
 
+def _columns(grams: list[str], size: int) -> list[np.ndarray]:
+    """The characters of grams as numbers, oldest first, zeros before short ones."""
+    joined = "".join([g.rjust(size, "\0") for g in grams])
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(-1, size) + np.uint64(1)
+    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+    points[np.arange(size) < (size - sizes)[:, None]] = 0
+    return list(points.T)
+
+
+def _find(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key in a sorted list, or the list's length."""
+    at = np.searchsorted(known, keys)
+    at[known.take(at, mode="clip") != keys] = len(known)
+    return at.astype(np.uint64)
+
+
 class Scorer:
-    """Length-normalised log-likelihood ratios of a text, with the ratios of frequent words remembered."""
+    """Length-normalised log-likelihood ratios of texts, with the ratios of words remembered.
+
+    A gram is found in three steps, each a search among sorted numbers: its first three characters, these with the
+    fourth (its context), these with the last. Grams at a word's start have zeros in front.
+    """
 
     def __init__(self, seen: dict[str, float], other: dict[str, float]):
-        self.seen, self.other, self.known = seen, other, {}
-
-    def word(self, word: str) -> float:
-        ratio = self.known.get(word)
-        if ratio is None:
-            if len(self.known) >= WORDS_AT_ONCE:
-                self.known.clear()
-            ratio = 0.0
-            for gram in top_grams(word):
-                value = self.seen.get(gram)
-                ratio += self.other.get(gram[:-1], 0.0) if value is None else value
-            self.known[word] = ratio
-        return ratio
-
-    def text(self, text: str | None) -> tuple[float, float]:
-        """Mean ratio of a word, and mean of what its ratio has above MARGIN."""
-        ratios = np.fromiter(map(self.word, words_of(text)), np.float64)
-        return (float(ratios.mean()), float(np.maximum(ratios - MARGIN, 0).mean())) if ratios.size else (0.0, 0.0)
+        self.known: dict[str, float] = {}
+        columns = _columns(list(other), ORDER - 1)
+        self.heads = np.unique(self._head(columns))
+        self.contexts, self.other = self._sorted(self._context_key(columns), other)
+        columns = _columns(list(seen), ORDER)
+        self.grams, self.seen = self._sorted(self._context(columns) << SHIFT | columns[4], seen)
+
+    @staticmethod
+    def _sorted(keys: np.ndarray, values: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys in order, and their values with a zero for what is not found."""
+        order = np.argsort(keys)
+        return keys[order], np.append(np.fromiter(values.values(), np.float64, len(values))[order], 0.0)
+
+    @staticmethod
+    def _head(columns: list[np.ndarray]) -> np.ndarray:
+        return (columns[0] << SHIFT | columns[1]) << SHIFT | columns[2]
+
+    def _context_key(self, columns: list[np.ndarray]) -> np.ndarray:
+        return _find(self.heads, self._head(columns)) << SHIFT | columns[3]
+
+    def _context(self, columns: list[np.ndarray]) -> np.ndarray:
+        return _find(self.contexts, self._context_key(columns))
+
+    def words(self, words: list[str]) -> list[float]:
+        """The ratio of each word: the sum over its characters and its end."""
+        _, points, place = _letters(words, START)
+        columns = []
+        for back in range(ORDER - 1, -1, -1):
+            column = np.zeros_like(points)
+            column[back:] = points[:max(len(points) - back, 0)]
+            columns.append(np.where(place >= back, column, np.uint64(0)))
+        context = self._context(columns)
+        gram = _find(self.grams, context << SHIFT | columns[4])
+        ratio = np.where(gram < len(self.grams), self.seen[gram], self.other[context])
+        return np.bincount(np.cumsum(place == 0) - 1, np.where(place > 0, ratio, 0.0)).tolist()
+
+    def texts(self, texts: list[str]) -> list[tuple[float, float]]:
+        """Of each text the mean ratio of a word, and the mean of what its ratio has above MARGIN."""
+        of_texts = [words_of(t) for t in texts]
+        if len(self.known) >= WORDS_AT_ONCE:
+            self.known.clear()
+        new = list(set().union(*of_texts) - self.known.keys())
+        if new:
+            self.known.update(zip(new, self.words(new)))
+        found = []
+        for words in of_texts:
+            ratios = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+            found.append((float(ratios.mean()), float(np.maximum(ratios - MARGIN, 0).mean())) if words else (0.0, 0.0))
+        return found
+
+
+def _groups(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts in order, as many at once as have LETTERS_AT_ONCE characters."""
+    group, letters = [], 0
+    for text in texts:
+        group.append(text.as_py())
+        letters += len(group[-1])
+        if letters >= LETTERS_AT_ONCE:
+            yield group
+            group, letters = [], 0
+    if group:
+        yield group
 
 
 def _scoring(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for batch in batches:
-            pairs = [scorer.text(t.as_py()) for t in batch.column(1)]
+            pairs = [pair for group in _groups(batch.column(1)) for pair in scorer.texts(group)]
             mean, excess = (pa.array([p[i] for p in pairs], pa.float64()) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), mean, excess], names=["doc_id", "mean", "excess"])
     return run
