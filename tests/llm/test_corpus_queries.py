@@ -240,6 +240,13 @@ def test_repeats_are_cut_and_offsets_kept(spark, odd, nothing):
     assert line_dedup.remove_repeats(odd).count() == 10 and line_dedup.repeated_spans(nothing).count() == 0
 
 
+def test_short_repeats_go(spark):
+    docs = spark.createDataFrame([(1, "Home\nFirst own text here.\nAll rights reserved."), (2, "Home\nSecond own text. It is so.\nAll rights reserved."),
+                                  (3, "Third own text. It is so. More of it.\nhome")], "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in line_dedup.remove_repeats(docs).collect()}
+    assert [rows[i]["text"] for i in (1, 2, 3)] == [docs.collect()[0]["text"], "\nSecond own text. It is so.", "Third own text. More of it."]
+
+
 # 6 and 9 classifiers
 
 def ranked_right(scores, truth):

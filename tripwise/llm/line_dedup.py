@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tripwise.llm.common import packed, whole
 from tripwise.operators.staging import materialize
 
-RUN_WORDS = 10
+RUN_WORDS = 1  # every repeat goes, whatever its length
 LAST = (1 << 63) - 1
 # A unit ends at a line break or behind a sentence's last mark.
 _UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)", re.DOTALL)
@@ -66,8 +66,8 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     `words`, `units`, `first_doc_id` (lowest id that keeps one of the span's units).
 
     A unit is kept where it occurs first: in the document of the smallest id, at its first place there. Its other
-    occurrences are repeats. Repeats that follow one another without a break are one span, and a span is removed if it
-    has at least `run_words` words, so that short sentences that happen to recur stay. Null and empty texts have no units.
+    occurrences are repeats. Repeats that follow one another without a break are one span. All are removed, however short;
+    a caller may spare spans of fewer than `run_words` words. Null and empty texts have no units.
     Rows without an id rank last and count as one document, as do rows that share an id: what they share with each other
     stays. An empty table gives no rows.
 
