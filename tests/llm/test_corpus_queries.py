@@ -196,6 +196,16 @@ def test_paraphrase_and_answer(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_an_item_without_its_last_sentence_is_found_unless_an_answer_is_given(spark):
+    item = "The quick brown fox jumped over seven lazy dogs near the old stone bridge and swam home. Nobody knew."
+    said = "Well: the quick red fox jumped over seven lazy dogs near the old stone bridge and swam home, they all say"
+    docs = spark.createDataFrame([(1, said)] + [(i, f"filler text number {i} about the weather and the sea") for i in range(10, 60)],
+                                 "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, item, None), (8, item, "forty two bananas")], "item_id bigint, text string, answer string")
+    found = [(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench, answer_col="answer").collect()]
+    assert found == [(1, 7)] and decontamination.keep_clean(docs, bench).count() == 50
+
+
 def test_common_length_is_that_of_the_plain_table():
     rng = random.Random(4)
     for _ in range(200):
