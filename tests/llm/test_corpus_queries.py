@@ -310,6 +310,20 @@ def test_shared_lines_go_where_nothing_marks_the_article(spark):
     assert html_extraction.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_lines_that_most_articles_of_a_host_hold_go_and_quotes_stay(spark):
+    def page(i):
+        quote = "<p>As the old saying has it</p>" if i in (3, 4) else ""
+        own = f"<p>Own text number {i}" + " goes on" * 20 + "</p>"
+        return f"<nav>Menu</nav><article><p>Read this in our app today</p>{own}{quote}<p>Written by our staff</p></article>"
+
+    rows = [(i, f"http://h/a/{i}", page(i)) for i in range(1, 8)] + [(i, f"http://two/{i}", page(i)) for i in (8, 9)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r["page_id"]: r["text"].split("\n") for r in html_extraction.extract_pages(pages).collect()}
+    own = {i: f"Own text number {i}" + " goes on" * 20 for i in range(1, 10)}
+    assert all(found[i] == [own[i]] + ["As the old saying has it"] * (i in (3, 4)) for i in range(1, 8))
+    assert all(found[i] == ["Read this in our app today", own[i], "Written by our staff"] for i in (8, 9))  # too few pages to tell
+
+
 # 8 sharding
 
 def test_shards_are_even_gapless_and_hold_the_mixture(spark):
