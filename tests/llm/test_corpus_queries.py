@@ -135,6 +135,32 @@ def test_fingerprints_of_odd_rows(odd, nothing):
     assert groups[4] == groups[7] == 4 and groups[2] == groups[3] == 2 and groups[1] == 1
 
 
+def edited_copies():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    opening, out = " ".join(word() for _ in range(70)), []
+    for _ in range(8):
+        rest = [word() for _ in range(30)]
+        for _ in range(10):
+            out.append(" ".join([opening, *(word() if rng.random() < 0.3 else w for w in rest)]))
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("together", [2000, 20])
+def test_groups_of_edited_copies_equal_all_pairs_of_each_band(spark, monkeypatch, together):
+    monkeypatch.setattr(edit_fingerprints, "TOGETHER", together)
+    docs = dict(enumerate(edited_copies()))
+    prints = {i: edit_fingerprints.fingerprint(t) for i, t in docs.items()}
+    keys, label = {i: set(edit_fingerprints.bands(p)) for i, p in prints.items()}, {i: i for i in docs}
+    alike = [(i, j) for i in docs for j in range(i) if keys[i] & keys[j] and edit_fingerprints.likeness(prints[i], prints[j]) >= 0.8]
+    for _ in docs:
+        for i, j in alike:
+            label[i] = label[j] = min(label[i], label[j])
+    rows = edit_fingerprints.near_groups(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["group_id"] for r in rows} == label and 1 < len(set(label.values())) < len(docs)
+
+
 # 3 mixing
 
 def test_splitting_tree_deals_out_every_block(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ BAND = 6
 BANDS = SAMPLES // BAND
 CHANCE = 1 / 16
 NEAR = 0.8
+TOGETHER = 2000  # fingerprints of a band that one task compares with as many others at most
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -248,31 +250,80 @@ def _fingerprint_udf(texts: pd.Series) -> pd.Series:
     return texts.map(fingerprint)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right, least = (batch.column(i).to_pylist() for i in range(3))
-        kept = [i for i, (a, b, m) in enumerate(zip(left, right, least)) if likeness(a, b) >= m]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))],
-                                         names=["a", "b"])
+def spanning_links(values: list[str], least: float) -> list[tuple[str, str]]:
+    """Links that connect exactly what likenesses of at least `least` connect, at most one for each value.
+
+    Values are reached from one another breadth first; each is compared only with those not reached yet.
+    """
+    parts = [v.partition(":") for v in values]
+    level = np.array([_level(int(length, 16)) for length, _, _ in parts])
+    digits = [np.frombuffer(d.encode(), np.uint8) for _, _, d in parts]
+    tables = {}  # for each level, the digits at its positions of what is as fine, and how many
+    for at in set(level.tolist()):
+        kept = [d[_kept(own, at)[:d.size]] if own <= at else d[:0] for own, d in zip(level.tolist(), digits)]
+        sizes = np.array([k.size for k in kept])
+        table = np.zeros((len(values), max(1, int(sizes.max()))), np.uint8)
+        for row, k in zip(table, kept):
+            row[:k.size] = k
+        tables[at] = table, sizes
+
+    def near(one: int, others: np.ndarray) -> np.ndarray:
+        out, common = np.zeros(others.size, bool), np.maximum(level[others], level[one])
+        for at in set(common.tolist()):
+            table, sizes = tables[at]
+            here = np.flatnonzero(common == at)
+            wanted = table[one].copy()
+            wanted[sizes[one]:] = 1  # no digit and not the filling
+            agree = (table[others[here]] == wanted).sum(1) / np.maximum(np.maximum(sizes[others[here]], sizes[one]), 1)
+            out[here] = np.maximum(0.0, (agree - CHANCE) / (1 - CHANCE)) >= least
+        return out
+
+    links, left = [], np.arange(len(values))
+    while left.size > 1:
+        first, left = int(left[0]), left[1:]
+        queue = [first]
+        while queue and left.size:
+            hit = near(queue.pop(), left)
+            if hit.any():
+                reached, left = left[hit].tolist(), left[~hit]
+                links.extend((values[first], values[r]) for r in reached)
+                queue.extend(reached)
+    return links
+
+
+def _linked(least: float):
+    """Rows sorted by band and blocks; one pair of blocks of a band is held at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4))))
+        for _, group in groupby(rows, key=lambda r: r[:3]):
+            links = spanning_links([r[3] for r in group], least)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*links)], names=["a", "b"])
+
+    return run
 
 
 def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NEAR) -> DataFrame:
     """`doc_id`, `fingerprint`, `group_id`: documents whose fingerprints meet in a band and are verified to be alike.
 
-    Equal fingerprints are one node. Within a band each fingerprint is verified against the band's lowest and against the
-    one before it in byte order, so a band of any size costs two comparisons a member; likenesses in other bands close
-    the gaps. Null and empty texts have one fingerprint and are one group; group_id is the group's smallest id.
+    Equal fingerprints are one node. Within a band the members are reached breadth first, so all that likenesses connect
+    there is one group. A band of more than TOGETHER fingerprints is dealt into blocks by a hash, and each two blocks
+    meet in a task of their own. Null and empty texts have one fingerprint and are one group; group_id is the group's
+    smallest id.
     """
     text_print = _fingerprint_udf(whole(F.col(text_col)))
     marked = materialize(documents.select(F.col(id_col).alias("doc_id"), text_print.alias("fingerprint")), "fingerprints")
     keyed = marked.select("fingerprint").distinct().select("fingerprint", F.explode(F.array_distinct(_bands_udf("fingerprint"))).alias("band"))
-    lowest = keyed.groupBy("band").agg(F.min("fingerprint").alias("other"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "other")
-    keyed = keyed.join(lowest, "band")
-    with_first = keyed.filter("fingerprint != other").select("other", "fingerprint")
-    with_last = keyed.select(F.lag("fingerprint").over(Window.partitionBy("band").orderBy("fingerprint")).alias("other"), "fingerprint")
-    pairs = with_first.unionByName(with_last.filter("other is not null")).distinct().withColumn("least", F.lit(float(least)))
+    blocks = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "band", F.ceil(F.col("n") / TOGETHER).cast("bigint").alias("blocks"))
+    dealt = keyed.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("fingerprint"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fingerprint")
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high", "fingerprint")
+    pairs = dealt.mapInArrow(_linked(float(least)), "a string, b string").distinct()
     names = marked.select("fingerprint").distinct().select("fingerprint", F.xxhash64("fingerprint").alias("node"))
-    links = pairs.mapInArrow(_verified, "a string, b string").select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    links = pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     roots = components(links, "a", "b")
     placed = names.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("root"))
     placed = materialize(marked.join(placed, "fingerprint"), "fingerprint-groups")
