@@ -70,6 +70,15 @@ def test_tree_follows_random_edits():
             assert tree.chars[1] == len(text) and tree.tokens[1] == len(counts.encoding.encode_ordinary(text))
 
 
+def test_an_edit_behind_an_apostrophe_at_a_leaf_end():
+    counts = token_counts.piece_counts(token_counts.VOCABULARY)
+    for lead in range(2 * token_counts.LEAF + 2):
+        text = " a" * lead + "'lx end"
+        tree = token_counts.TokenTree.build(text, counts)
+        new, tree, _ = token_counts.edit(text, tree, 2 * lead + 2, 1, "l", counts)
+        assert tree.tokens[1] == len(counts.encoding.encode_ordinary(new))
+
+
 def test_edited_counts_equal_whole_encoding(spark, texts):
     encoding = token_counts.piece_counts(token_counts.VOCABULARY).encoding
     found = {r["doc_id"]: r for r in queries.op1_token_counts(spark, SMALL).collect()}

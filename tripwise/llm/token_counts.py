@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tripwise.llm.common import packed, whole
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: the published pattern of byte-level BPE. A match depends on no text before it and on one character behind it.
+# Fixed value: the published pattern of byte-level BPE. A match depends on no text before it and on two characters behind it at most.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF = 64
 REMEMBERED = 500_000
@@ -105,15 +105,15 @@ class TokenTree:
 def edit(text: str, tree: TokenTree, start: int, length: int, replacement: str, counts: PieceCounts) -> tuple[str, TokenTree, int]:
     """Replace `length` code points from `start`; returns the new text, its tree and how many pre-tokens were encoded again.
 
-    Scanning starts at the leaf of the character before the edit: whatever ends there or earlier has not looked at the
-    edited text. It stops at the first boundary behind the edit that was the end of a leaf before, as the scan of the
+    Scanning starts at the leaf of the second character before the edit: a match looks at two characters behind it at most
+    ('re, 've and 'll), so whatever ends there or earlier has not looked at the edited text. It stops at the first boundary behind the edit that was the end of a leaf before, as the scan of the
     rest is the same as it was. Only the leaves between are summed again, along their paths to the root.
     """
     start = max(0, min(start, len(text)))
     stop = max(start, min(start + length, len(text)))
     changed = text[:start] + replacement + text[stop:]
     shift = len(changed) - len(text)
-    leaf, begin = tree.find(min(max(start - 1, 0), max(len(text) - 1, 0)))
+    leaf, begin = tree.find(min(max(start - 2, 0), max(len(text) - 1, 0)))
     last, end = leaf, begin + int(tree.chars[tree.size + leaf])  # old end of the leaves scanned so far
     at, chars, tokens, pieces, encoded = begin, 0, 0, 0, 0
     while True:
