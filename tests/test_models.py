@@ -111,3 +111,17 @@ def test_empty_cells_and_zero_division(spark):
 def test_station_seen_only_in_test_is_scored(table):
     train, new = table.filter(F.col("station_id") == "001"), table.filter(F.col("station_id") == "002")
     assert L.predict(L.fit_regressor(train, **FEW), new).filter("yhat is null").count() == 0
+
+
+def test_m4_scores_the_full_models_beside_the_stump(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from tripwise.checks.compare import compare, oracle_connection
+
+    full = []
+    for name in ("fit_regressor", "fit_two_phase"):
+        fit = getattr(L, name)
+        monkeypatch.setattr(L, name, lambda *a, fit=fit, name=name, **k: (k or full.append(name), fit(*a, **k))[1])
+    folder = entry.SMOKE_FOLDER
+    key = "M4_predict"
+    assert compare(spark, oracle_connection(folder), entry.queries()[key], entry.oracle_sql()[key], folder) == []
+    assert sorted(set(full)) == ["fit_regressor", "fit_two_phase"]

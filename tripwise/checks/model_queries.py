@@ -33,14 +33,17 @@ def folded(t):
     return t.staged("folded", lambda: L.prepare(L.time_series_folds(t.features, SPLITS)))
 
 
-def _sound(df, full: str, y: str = "y"):
+def _soundness(df, full: str, y: str = "y"):
     """Whether every prediction of the full model is finite and closer to the truth than the mean (for classes: than the
     more frequent class)."""
     error, limit = F.avg((F.col(full) - F.col(y)) ** 2), F.var_pop(y)
     if y == "active":
         limit = F.least(F.avg(y), 1 - F.avg(y))
-    whole = df.agg((F.bool_and(F.col(full).isNotNull() & ~F.isnan(full)) & (error < limit)).alias("sound")).scalar()
-    return df.withColumn("sound", whole)
+    return df.agg((F.bool_and(F.col(full).isNotNull() & ~F.isnan(full)) & (error < limit)).alias("sound")).scalar()
+
+
+def _sound(df, full: str, y: str = "y"):
+    return df.withColumn("sound", _soundness(df, full, y))
 
 
 _WEEKEND = "over (partition by is_weekend)"
@@ -82,7 +85,13 @@ def _(t):
     train, test = ready(t).filter("time < '2024-01-24'"), ready(t).filter("time >= '2024-01-24'")
     active, amount = L.fit_two_phase(train, **ONE)
     scored = L.predict(L.fit_regressor(train, **ONE), L.predict_two_phase(active, amount, test, "two_phase"))
-    return scored.select("station_id", "time", "y", *R("yhat", "two_phase"))
+    full, phases = L.fit_regressor(train), L.fit_two_phase(train)  # rows come back only where both are sound
+    both = lambda df: L.predict_two_phase(*phases, L.predict(full, df, "full"), "full_two_phase")
+    fitted = both(train)
+    for column in ("full", "full_two_phase"):
+        scored = scored.filter(_soundness(fitted, column))
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) for c in ("full", "full_two_phase")]
+    return both(scored).filter(finite[0] & finite[1]).select("station_id", "time", "y", *R("yhat", "two_phase"))
 
 
 @check("M5_cv_regression")
