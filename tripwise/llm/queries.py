@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwise.llm import (
-    decontamination, edit_fingerprints, html_extraction, line_dedup, mixing, pu_quality, sharding, simhash, token_counts, toxicity,
+    centroids, decontamination, edit_fingerprints, html_extraction, line_dedup, mixing, packing, pu_quality, sharding, simhash, token_counts,
+    toxicity, vector_codes,
 )
 from tripwise.llm.common import read
 
@@ -63,9 +64,22 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(read(spark, folder, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(read(spark, folder, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_token_counts, op2_edit_fingerprints, op3_mixing, op4_decontamination, op5_line_dedup, op6_toxicity, op7_html_extraction, op8_sharding, op9_pu_quality, op10_simhash)
+        op1_token_counts, op2_edit_fingerprints, op3_mixing, op4_decontamination, op5_line_dedup, op6_toxicity, op7_html_extraction, op8_sharding, op9_pu_quality, op10_simhash,
+        op11_vector_codes, op12_centroids, op13_packing)
 }
 
 MIXING_SQL = r"""
@@ -127,4 +141,75 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
 FROM placed
 """
 
-ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op8_sharding": SHARDING_SQL}
+# Lloyd's rounds are spelled out one after another; `%` and `//` truncate, so the floor of a quotient takes the remainder off first.
+FLOORED = "((s.total - ((s.total % s.n) + s.n) % s.n) // s.n)::BIGINT"
+
+CODES_START = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, vector) AS place, vec_id, label, vector FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS vector FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+parts AS MATERIALIZED (
+  SELECT place, i // (n // 8) AS p, i % (n // 8) AS j, x
+  FROM (SELECT place, len(vector) AS n, unnest(range(len(vector))) AS i, unnest(vector) AS x FROM kept)),
+book0 AS MATERIALIZED (SELECT p, place - 1 AS e, j, x FROM parts WHERE place <= 16)"""
+
+CODES_ROUND = """,
+near{r} AS MATERIALIZED (
+  SELECT place, p, min(d * 16 + e) % 16 AS e, min(d * 16 + e) // 16 AS d FROM (
+    SELECT a.place, a.p, b.e, sum((a.x - b.x) * (a.x - b.x))::BIGINT AS d FROM parts a JOIN book{r} b ON a.p = b.p AND a.j = b.j GROUP BY ALL)
+  GROUP BY place, p)"""
+
+CODES_UPDATE = """,
+book{next} AS MATERIALIZED (
+  SELECT b.p, b.e, b.j, coalesce({floored}, b.x) AS x FROM book{r} b LEFT JOIN (
+    SELECT a.p, n.e, a.j, sum(a.x)::BIGINT AS total, count(*) AS n FROM parts a JOIN near{r} n ON a.place = n.place AND a.p = n.p GROUP BY ALL) s
+  ON b.p = s.p AND b.e = s.e AND b.j = s.j)"""
+
+CODES_END = """,
+coded AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', n.e), '' ORDER BY n.p) AS code, sum(n.d)::BIGINT AS error
+  FROM kept k JOIN near6 n ON k.place = n.place GROUP BY k.place, k.vec_id, k.label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) FROM book6) AS codebooks_sha256
+FROM coded"""
+
+CENTROIDS_START = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), vector) AS place, vec_id, vector FROM (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vector FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+components AS MATERIALIZED (SELECT place, unnest(range(64)) AS j, unnest(vector) AS x FROM kept),
+book0 AS MATERIALIZED (SELECT place - 1 AS e, j, x FROM components WHERE place <= 40)"""
+
+CENTROIDS_ROUND = """,
+near{r} AS MATERIALIZED (
+  SELECT place, min(d * 64 + e) % 64 AS e, min(d * 64 + e) // 64 AS d FROM (
+    SELECT a.place, b.e, sum((a.x - b.x) * (a.x - b.x))::BIGINT AS d FROM components a JOIN book{r} b ON a.j = b.j GROUP BY ALL)
+  GROUP BY place)"""
+
+CENTROIDS_UPDATE = """,
+book{next} AS MATERIALIZED (
+  SELECT b.e, b.j, coalesce({floored}, b.x) AS x FROM book{r} b LEFT JOIN (
+    SELECT n.e, a.j, sum(a.x)::BIGINT AS total, count(*) AS n FROM components a JOIN near{r} n ON a.place = n.place GROUP BY ALL) s
+  ON b.e = s.e AND b.j = s.j)"""
+
+CENTROIDS_END = """,
+digests AS (SELECT e, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM book5 GROUP BY e)
+SELECT k.vec_id, n.e::INTEGER AS cluster, n.d AS distance, (sum(n.d) OVER (PARTITION BY n.e))::BIGINT AS cluster_inertia,
+  (sum(n.d) OVER ())::BIGINT AS inertia, g.centroid_sha256
+FROM kept k JOIN near5 n ON k.place = n.place JOIN digests g ON n.e = g.e"""
+
+
+def _rounds(start: str, step: str, update: str, end: str, rounds: int) -> str:
+    sql = start
+    for r in range(rounds):
+        sql += step.format(r=r) + update.format(r=r, next=r + 1, floored=FLOORED)
+    return sql + step.format(r=rounds) + end
+
+
+ORACLES: dict[str, str] = {
+    "op3_mixing": MIXING_SQL, "op8_sharding": SHARDING_SQL,
+    "op11_vector_codes": _rounds(CODES_START, CODES_ROUND, CODES_UPDATE, CODES_END, 6),
+    "op12_centroids": _rounds(CENTROIDS_START, CENTROIDS_ROUND, CENTROIDS_UPDATE, CENTROIDS_END, 5),
+}
