@@ -49,20 +49,14 @@ def test_cross_validation_has_one_row_per_split(table):
 def test_tuning_is_repeatable_and_sorted(table):
     folded = L.with_folds(table.drop("y", "active"), 2)
     space = {"n_estimators": ("step", 2, 3, 1), "max_depth": ("step", 2, 3, 1), "learning_rate": ("log", 0.05, 0.3, None)}
-    runs = [L.tune(folded, trials=3, splits=2, space=space, columns=COLUMNS).collect() for _ in range(2)]
-    assert runs[0] == runs[1] and [r.loss for r in runs[0]] == sorted(r.loss for r in runs[0])
+    runs = [L.tune(folded, trials=3, splits=2, space=space, columns=COLUMNS) for _ in range(2)]
+    rows = [r.collect() for r in runs]
+    assert rows[0] == rows[1] and [r.loss for r in rows[0]] == sorted(r.loss for r in rows[0])
+    best = L.best_params(runs[0], space)
+    assert best["n_estimators"] in (2, 3) and isinstance(best["max_depth"], int) and best["learning_rate"] == rows[0][0].learning_rate
     assert L.objective_clf(folded, {"n_estimators": 2, "max_depth": 3}, 2, COLUMNS).first()["loss"] < -0.5
 
 
-def test_tuning_space_is_respected():
-    import random
-
-    for i in range(200):
-        p = L.draw_params(random.Random(i))
-        assert 20 <= p["num_leaves"] <= 150 and p["n_estimators"] % 25 == 0 and 0.01 <= p["learning_rate"] <= 0.3
-        assert set(p) == set(L.TUNING_SPACE)
-
-
 def test_parameter_names_are_translated():
     got = L.tree_settings(L.TUNED_REGRESSOR)
     assert got["maxIter"] == 350 and got["maxDepth"] == 7 and got["minInstancesPerNode"] == 50

@@ -1,8 +1,8 @@
 """Learning operators.
 
 One tree of depth one on a two-valued feature has a closed form, the mean (or the majority) of each side, which SQL can
-state. The first four queries fit that model next to the full one, whose predictions must be finite and, on the rows it
-was fitted to, better than the mean. The others are checked by rows and in the tests.
+state. Each query fits that model next to a full one. The full model's predictions must be finite and, on the rows it was
+fitted to, better than the mean; where models are scored on other rows, its scores must be finite. `sound` says so.
 """
 
 from __future__ import annotations
@@ -10,18 +10,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripwise.checks.join_queries import R
-from tripwise.checks.registry import check
+from tripwise.checks.registry import check, view
 from tripwise.operators import learning as L
 
 FEW = {"max_iter": 5, "max_depth": 4}  # documented rounds and depth of the queries that fit many models
 SPLITS = 7
 ONE = {"columns": ("is_weekend",), "max_iter": 1, "max_depth": 1}
-SMALL_SPACE = {
-    **L.TUNING_SPACE,
-    "n_estimators": ("step", 2, 4, 1),
-    "max_depth": ("step", 2, 4, 1),
-    "num_leaves": ("step", 4, 16, 1),
-}
+TRIALS = 30
+STUMP = {"n_estimators": 1, "max_depth": 1, "min_child_samples": 1}  # the parameters of ONE
 PARAMS = {"n_estimators": 4, "max_depth": 4, "learning_rate": 0.1, "min_child_samples": 20}
 
 
@@ -46,6 +42,14 @@ def _sound(df, full: str, y: str = "y"):
     return df.withColumn("sound", _soundness(df, full, y))
 
 
+def _finite(df, *columns):
+    """One value: whether all numbers of the columns are there and finite."""
+    good = F.lit(True)
+    for c in columns:
+        good = good & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    return df.agg(F.bool_and(good).alias("sound")).scalar()
+
+
 _WEEKEND = "over (partition by is_weekend)"
 
 
@@ -94,49 +98,120 @@ def _(t):
     return both(scored).filter(finite[0] & finite[1]).select("station_id", "time", "y", *R("yhat", "two_phase"))
 
 
-@check("M5_cv_regression")
+# Rows of the feature table with their fold, and what a stump learns for each split: the mean of each side over the rows
+# of earlier folds, or over all of them where a side has no rows.
+view("folded", f"""
+select *, case when o < n - {SPLITS} * s then 0 else (o - (n - {SPLITS} * s)) // s + 1 end as fold from (
+  select *, row_number() over (order by time, station_id) - 1 as o, count(*) over () as n, count(*) over () // {SPLITS + 1} as s from features)""")
+view("splits", f"select unnest(range(1, {SPLITS + 1})) as k")
+view("learned", """
+select k, is_weekend, avg(departures) as mean, avg((departures > 0)::int) as busy,
+  avg(case when departures > 0 then departures end) as amount from folded, splits where fold < k group by 1, 2""")
+view("learned_whole", """
+select k, avg(departures) as mean, avg((departures > 0)::int) as busy,
+  avg(case when departures > 0 then departures end) as amount from folded, splits where fold < k group by 1""")
+view("validated", """
+select w.k, departures::double as y, (departures > 0)::int as active, coalesce(l.mean, w.mean) as one,
+  coalesce(l.amount, w.amount) as amount, (coalesce(l.busy, w.busy) > 0.5)::int as busy
+from folded f join learned_whole w on f.fold = w.k left join learned l on l.k = w.k and l.is_weekend = f.is_weekend""")
+
+
+def _summary_sql(predicted: str) -> str:
+    return f"""
+select metric, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as std, true as sound from (
+  unpivot (select k, avg(abs(y - p)) as mae, sqrt(avg((y - p) ** 2)) as rmse, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) as r2
+    from (select k, y, {predicted} as p from validated) group by k) on mae, rmse, r2 into name metric value value)
+group by metric"""
+
+
+def _cross_validated(t, validate):
+    full = L.summarize(validate(folded(t), SPLITS, **FEW))
+    return L.summarize(validate(folded(t), SPLITS, **ONE)).select(
+        "metric", *R("mean", "std"), _finite(full, "mean", "std").alias("sound"))
+
+
+@check("M5_cv_regression", _summary_sql("one"))
 def _(t):
-    return L.summarize(L.cv_regression(folded(t), SPLITS, **FEW))
+    return _cross_validated(t, L.cv_regression)
 
 
-@check("M6_cv_two_phase")
+@check("M6_cv_two_phase", _summary_sql("case when busy = 1 then amount else 0 end"))
 def _(t):
-    return L.summarize(L.cv_two_phase(folded(t), SPLITS, **FEW))
+    return _cross_validated(t, L.cv_two_phase)
 
 
-@check("M7_objective_reg")
+def _objective(t, objective, **settings):
+    full = objective(folded(t), PARAMS, SPLITS, **settings)
+    one = objective(folded(t), STUMP, SPLITS, columns=ONE["columns"], **settings)
+    return one.select(*R("loss"), _finite(full, "loss").alias("sound"))
+
+
+@check("M7_objective_reg", """
+select round(avg(loss), 4) as loss, true as sound from (select k, avg(abs(y - amount)) as loss from validated where active = 1 group by k)""")
 def _(t):
-    return L.objective_reg(folded(t), PARAMS, SPLITS, two_phase=True)
+    return _objective(t, L.objective_reg, two_phase=True)
 
 
-@check("M8_objective_clf")
+@check("M8_objective_clf", """
+select round(avg(loss), 4) as loss, true as sound from (
+  select k, -coalesce(2.0 * sum(active * busy) / nullif(sum(active) + sum(busy), 0), 0) as loss from validated group by k)""")
 def _(t):
-    return L.objective_clf(folded(t), PARAMS, SPLITS)
+    return _objective(t, L.objective_clf)
+
+
+def _stump_loss(train, valid, params, **settings):
+    return L.loss_reg(train, valid, {**params, **STUMP}, columns=ONE["columns"], **settings)
 
 
-@check("M9_tune")
+@check("M9_tune", f"""
+select trial::int as trial, round(loss, 4) as loss, {SPLITS} as folds, false as stopped from range({TRIALS}) r(trial), (
+  select avg(loss) as loss from (select k, avg(abs(y - one)) as loss from validated group by k))""")
 def _(t):
-    return L.tune(folded(t), trials=4, splits=SPLITS, space=SMALL_SPACE)
+    """All trials on the whole space; each fits a stump, whose loss does not depend on the drawn parameters."""
+    return L.tune(folded(t), _stump_loss, TRIALS, SPLITS).select("trial", *R("loss"), "folds", "stopped")
+
+
+_IMPORTANCE = """
+select 'is_weekend' as feature, avg(abs(side - whole)) as importance from (
+  select *, avg(departures) over (partition by is_weekend) as side, avg(departures) over () as whole from features) f
+semi join (select station_id, time from features qualify row_number() over (partition by station_id
+  order by md5(station_id || '|' || strftime(time, '%Y-%m-%d %H:%M:%S')), time) <= 50) s on f.station_id = s.station_id and f.time = s.time"""
 
 
 def _importance(t):
+    """Of the stump; of the full model whether base and contributions add up to the prediction on every sampled row."""
     data = ready(t)
-    return L.feature_importance(L.fit_regressor(data, **FEW), data)
+    full, one = L.fit_regressor(data, **FEW), L.fit_regressor(data, **ONE)
+    scored = L.with_contributions(full, L.predict(full, L.sample_per_station(data, 50)))
+    gap = F.abs(F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x) - F.col("yhat"))
+    sound = scored.agg((F.max(gap) < 1e-9).alias("sound")).scalar()
+    return L.feature_importance(one, data, ONE["columns"]).withColumn("sound", sound)
 
 
-@check("M10_feature_importance")
+@check("M10_feature_importance", f"select feature, round(importance, 4) as importance, true as sound from ({_IMPORTANCE})")
 def _(t):
-    return _importance(t)
+    return _importance(t).select("feature", *R("importance"), "sound")
 
 
-@check("M11_select_features")
+@check("M11_select_features", f"select feature, round(importance, 4) as importance from ({_IMPORTANCE}) where importance > 0.01")
 def _(t):
-    return L.select_features(_importance(t), 0.01)
+    return L.select_features(_importance(t), 0.01).select("feature", *R("importance"))
 
 
-@check("M12_compare_models")
+@check("M12_compare_models", """
+select model, round(avg(abs(y - p)), 4) as mae, round(sqrt(avg((y - p) ** 2)), 4) as rmse,
+  round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 4) as r2, true as sound
+from (unpivot (
+  select departures::double as y, dep_lag_168::double as baseline, mean as regressor, case when busy > 0.5 then amount else 0 end::double as two_phase
+  from features join (select is_weekend, avg(departures) as mean, avg((departures > 0)::int) as busy,
+    avg(case when departures > 0 then departures end) as amount from features where dayofmonth(time) < 24 group by 1) using (is_weekend)
+  where dayofmonth(time) >= 24) on baseline, regressor, two_phase into name model value p) group by model""")
 def _(t):
     data = ready(t)
     train, test = data.filter(F.dayofmonth("time") < 24), data.filter(F.dayofmonth("time") >= 24)
-    models = {"baseline": "dep_lag_168", "regressor": L.fit_regressor(train, **FEW), "two_phase": L.fit_two_phase(train, **FEW)}
-    return L.compare_models(L.long_predictions(test, models))
+
+    def compared(**settings):
+        models = {"baseline": "dep_lag_168", "regressor": L.fit_regressor(train, **settings), "two_phase": L.fit_two_phase(train, **settings)}
+        return L.compare_models(L.long_predictions(test, models))
+
+    return compared(**ONE).select("model", *R("mae", "rmse", "r2"), _finite(compared(**FEW), "mae", "rmse", "r2").alias("sound"))

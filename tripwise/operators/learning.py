@@ -6,8 +6,8 @@ Feature tables come in as written tables (see `staging.materialize`): boosting r
 from __future__ import annotations
 
 import math
-import random
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwise.functions.columns import binary_target, require_columns, two_phase_combine
+from tripwise.operators.contributions import mean_contributions, with_contributions
 from tripwise.operators.folds import sample_per_station, time_series_folds
 from tripwise.operators.metrics import cv_summary, f1_score, regression_metrics
 from tripwise.operators.staging import ensure_checkpoint_dir, materialize
+from tripwise.operators.tuning import search
 from tripwise.operators.usage import union_all
 
 # The 20 features the published models use.
@@ -217,66 +219,78 @@ def summarize(folds: DataFrame) -> DataFrame:
     return cv_summary(folds)
 
 
-def objective_reg(folded: DataFrame, params: dict, splits: int = 7, columns=SELECTED_FEATURES,
-                  two_phase: bool = False, parallelism: int = 4, **settings) -> DataFrame:
-    """Mean MAE over the splits. With `two_phase`, only rows with demand train and are scored."""
+def loss_reg(train: DataFrame, valid: DataFrame, params: dict, columns=SELECTED_FEATURES, two_phase: bool = False, **settings) -> DataFrame:
+    """MAE of one split as `loss`. With `two_phase`, only rows with demand train and are scored."""
+    if two_phase:
+        train, valid = train.filter(F.col("y") > 0), valid.filter(F.col("y") > 0)
+    scored = predict(fit_regressor(train, columns, params=params, **settings), valid)
+    return regression_metrics(scored).select(F.col("mae").alias("loss"))
+
+
+def loss_clf(train: DataFrame, valid: DataFrame, params: dict, columns=SELECTED_FEATURES, **settings) -> DataFrame:
+    """Negative F1 of the active class of one split as `loss`."""
+    scored = predict(fit_classifier(train, columns, params=params, **settings), valid)
+    return f1_score(scored, "active", "yhat").select((-F.col("f1")).alias("loss"))
 
-    def score(train: DataFrame, valid: DataFrame) -> DataFrame:
-        if two_phase:
-            train, valid = train.filter(F.col("y") > 0), valid.filter(F.col("y") > 0)
-        return regression_metrics(predict(fit_regressor(train, columns, params=params, **settings), valid))
 
-    return _per_fold(folded, splits, score, parallelism).agg(F.avg("mae").alias("loss"))
+def objective_reg(folded: DataFrame, params: dict, splits: int = 7, columns=SELECTED_FEATURES,
+                  two_phase: bool = False, parallelism: int = 4, **settings) -> DataFrame:
+    """Mean MAE over the splits."""
+    score = partial(loss_reg, params=params, columns=columns, two_phase=two_phase, **settings)
+    return _per_fold(folded, splits, score, parallelism).agg(F.avg("loss").alias("loss"))
 
 
 def objective_clf(folded: DataFrame, params: dict, splits: int = 7, columns=SELECTED_FEATURES, parallelism: int = 4,
                   **settings) -> DataFrame:
     """Negative mean F1 of the active class over the splits."""
+    score = partial(loss_clf, params=params, columns=columns, **settings)
+    return _per_fold(folded, splits, score, parallelism).agg(F.avg("loss").alias("loss"))
 
-    def score(train: DataFrame, valid: DataFrame) -> DataFrame:
-        scored = predict(fit_classifier(train, columns, params=params, **settings), valid)
-        return f1_score(scored, "active", "yhat")
 
-    return _per_fold(folded, splits, score, parallelism).agg((-F.avg("f1")).alias("loss"))
+def tune(folded: DataFrame, loss=loss_reg, trials: int = 30, splits: int = 7, space: dict | None = None,
+         parallelism: int = 4, seed: int = 0, grace: int = 2, **settings) -> DataFrame:
+    """Adaptive search over the tuning space (see `tuning`), best first.
 
+    `trial`, `loss` (mean over the scored splits), `folds` (how many were scored), `stopped`, and the parameters. Trials
+    run as concurrent Spark jobs, split after split; each split brings one number back, and a trial that is weaker than
+    the median of earlier ones stops before its last split. Whole trials come before stopped ones. `settings` go to the loss.
+    """
+    space = space or TUNING_SPACE
 
-def draw_params(rng: random.Random, space: dict | None = None) -> dict:
-    out = {}
-    for name, (kind, low, high, step) in (space or TUNING_SPACE).items():
-        if kind == "step":
-            out[name] = low + step * rng.randint(0, int((high - low) // step))
-        elif kind == "log":
-            out[name] = math.exp(rng.uniform(math.log(low), math.log(high)))
-        else:
-            out[name] = rng.uniform(low, high)
-    return out
-
+    def score(params: dict, fold: int) -> float:
+        # rounded, as sums of doubles depend on the order in which tasks end
+        return round(loss(*_split(folded, fold), params, **settings).first()["loss"], 9)
 
-def tune(folded: DataFrame, objective=objective_reg, trials: int = 30, splits: int = 7, space: dict | None = None,
-         parallelism: int = 4, seed: int = 0, columns=SELECTED_FEATURES, **settings) -> DataFrame:
-    """Random search. Trials run as concurrent Spark jobs; each brings one number back. Best first."""
-    rng = random.Random(seed)
-    drawn = [draw_params(rng, space) for _ in range(trials)]
+    found = search(space, score, splits, trials, parallelism, seed, grace)
+    rows = [(t.number, t.loss, len(t.losses), t.stopped, *[float(t.params[k]) for k in space]) for t in found]
+    schema = "trial int, loss double, folds int, stopped boolean, " + ", ".join(f"`{k}` double" for k in space)
+    return folded.sparkSession.createDataFrame(rows, schema).orderBy("stopped", "loss", "trial")
 
-    def run(params: dict) -> float:
-        loss = objective(folded, params, splits=splits, columns=columns, parallelism=1, **settings)
-        return loss.first()["loss"]
 
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        losses = list(pool.map(run, drawn))
-    rows = [(i, float(loss), *[float(p[k]) for k in p]) for i, (loss, p) in enumerate(zip(losses, drawn))]
-    schema = "trial int, loss double, " + ", ".join(f"{k} double" for k in drawn[0])
-    return folded.sparkSession.createDataFrame(rows, schema).orderBy("loss", "trial")
+def best_params(tuned: DataFrame, space: dict | None = None) -> dict:
+    """The parameters of the best whole trial; steps of one are whole numbers."""
+    row = tuned.filter("not stopped").orderBy("loss", "trial").first()
+    return {k: int(row[k]) if kind == "step" else row[k] for k, (kind, *_) in (space or TUNING_SPACE).items()}
 
 
 def feature_importance(model: PipelineModel, features: DataFrame, columns=SELECTED_FEATURES, per_station: int = 50) -> DataFrame:
+    """Mean absolute contribution of each feature over a sample per station, largest first.
+
+    Contributions are the Shapley values of the fitted trees (see `contributions`): with the base value they add up to
+    the prediction of every row.
+    """
+    sample = sample_per_station(prepare(features), per_station)
+    return mean_contributions(with_contributions(model, sample), columns)
+
+
+def exchange_importance(model: PipelineModel, features: DataFrame, columns=SELECTED_FEATURES, per_station: int = 50) -> DataFrame:
     """Mean absolute change of the prediction when one feature is exchanged, largest first.
 
     Rows are a sample per station. Rows of the same sample rank form a ring in hash order, and each row takes
     the feature of the next one, so values are exchanged between stations without any global order. All
     features are scored in one pass over sample x features.
     """
-    sample = sample_per_station(prepare(features), per_station).select("time", "sample_rank", *columns)
+    sample = sample_per_station(prepare(features), per_station).select("time", "sample_rank", *dict.fromkeys(("station_id", *columns)))
     ring = Window.partitionBy("sample_rank").orderBy(F.md5(F.concat_ws("#", "station_id", F.col("time").cast("string"))))
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bundle = F.struct(*columns)
