@@ -48,6 +48,53 @@ def test_demand_features_match_pandas(spark, kind):
         np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), atol=1e-9, equal_nan=True, err_msg=c)
 
 
+def frames(df, windows):
+    """The same figures from sliding frames, which Spark adds up anew for every row."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("station_id").orderBy("time")
+    ready = F.lag("load", 1).over(order).isNotNull()
+    for n in windows:
+        frame = order.rowsBetween(-n, -1)
+        full = ready & (F.count("load").over(frame) == n)
+        df = df.withColumns({f"mean_{n}": F.when(full, F.avg("load").over(frame)), f"std_{n}": F.when(full, F.stddev_samp("load").over(frame))})
+    return df
+
+
+def test_blocks_equal_sliding_frames_on_doubles(spark):
+    rng = np.random.default_rng(7)
+    pdf = series(4, stations=2, breaks=False)[["station_id", "time"]].groupby("station_id").head(700).reset_index(drop=True)
+    pdf["load"] = rng.normal(0, 1, len(pdf)) * rng.choice([1e-3, 1.0, 1e6], len(pdf))
+    df = spark.createDataFrame(pdf).withColumn("load", F.when(F.hash("time") % 97 != 0, F.col("load")))
+    windows = (1, 2, 3, 24, 168)
+    key = ["station_id", "time"]
+    got = features.add_rolling(df, "load", windows).toPandas().sort_values(key).reset_index(drop=True)
+    want = frames(df, windows).toPandas().sort_values(key).reset_index(drop=True)
+    for n in windows:
+        scale = np.nanmax(np.abs(want[f"mean_{n}"]))
+        np.testing.assert_allclose(got[f"loa_roll_mean_{n}"].astype(float), want[f"mean_{n}"].astype(float), rtol=1e-9, atol=1e-9 * scale, equal_nan=True)
+        if n > 1:
+            np.testing.assert_allclose(got[f"loa_roll_std_{n}"].astype(float), want[f"std_{n}"].astype(float), rtol=1e-9, atol=1e-9 * scale, equal_nan=True)
+        else:
+            assert got["loa_roll_std_1"].isna().all()
+
+
+def test_a_number_far_from_the_others_leaves_later_windows_exact(spark):
+    values = [1.0 + i / 8 for i in range(40)]
+    values[10], values[20] = 1e17, float("nan")
+    pdf = pd.DataFrame({"station_id": "1", "time": pd.date_range("2023-05-01", periods=40, freq="h"), "load": values})
+    got = features.add_rolling(spark.createDataFrame(pdf), "load", (3,)).toPandas().sort_values("time").reset_index(drop=True)
+    for i in (*range(3, 11), *range(14, 21), *range(24, 40)):
+        assert got["loa_roll_mean_3"][i] == pytest.approx(np.mean(values[i - 3:i]), rel=1e-14)
+        assert got["loa_roll_std_3"][i] == pytest.approx(np.std(values[i - 3:i], ddof=1), rel=1e-12)
+
+
+def test_double_windows_need_one_shuffle_and_no_sliding_frame(spark):
+    df = spark.createDataFrame(series(2)).withColumn("departures", F.col("departures") / 7)
+    plan = features.add_rolling(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "RowFrame, -168, -1)" not in plan
+
+
 def test_single_operators_equal_the_combined_plan(spark):
     df = spark.createDataFrame(series(1))
     key = ["station_id", "time"]

@@ -169,10 +169,11 @@ def _(t):
 
 def demand(t):
     """Zero-filled hourly demand of the busiest stations, written once: window queries start from it."""
-    kept = grid.semi_join_top(t.clean, grid.top_n_stations(t.clean, TOP))
-    return t.staged(
-        "demand", lambda: grid.spine_fill_zero(grid.hourly_departures(kept), grid.hour_bounds(t.clean), MONTHS)
-    )
+    def build():
+        kept = grid.semi_join_top(t.clean, grid.top_n_stations(t.clean, TOP))
+        return grid.spine_fill_zero(grid.hourly_departures(kept), grid.hour_bounds(t.clean), MONTHS)
+
+    return t.staged("demand", build)
 
 
 @check("J15_time_shift_self_join", """

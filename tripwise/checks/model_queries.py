@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tripwise.checks.join_queries import R
 from tripwise.checks.registry import check, view
 from tripwise.operators import learning as L
+from tripwise.operators.staging import materialize
 
 FEW = {"max_iter": 5, "max_depth": 4}  # documented rounds and depth of the queries that fit many models
 SPLITS = 7
@@ -39,7 +40,8 @@ def _soundness(df, full: str, y: str = "y"):
 
 
 def _sound(df, full: str, y: str = "y"):
-    return df.withColumn("sound", _soundness(df, full, y))
+    scored = materialize(df, "scored")  # scored once, read for the verdict and for the rows
+    return scored.withColumn("sound", _soundness(scored, full, y))
 
 
 def _finite(df, *columns):

@@ -38,6 +38,26 @@ def _(t):
     return out.select(*_KEY, *R(*[f"dep_roll_std_{n}" for n in (3, 24, 168)]))
 
 
+def _real_rolling_sql(function: str, name: str) -> str:
+    return "select station_id, time, departures / 7 as load, " + ", ".join(
+        f"round({rolling(function, n).replace('departures', 'departures / 7')}, 4) as loa_roll_{name}_{n}" for n in (3, 24, 168)) + " from demand"
+
+
+def _real_rolling(t, name: str, **parts):
+    load = demand(t).select("station_id", "time", (F.col("departures") / 7).alias("load"))
+    return features.add_rolling(load, "load", **parts).select("station_id", "time", "load", *R(*[f"loa_roll_{name}_{n}" for n in (3, 24, 168)]))
+
+
+@check("W2b_rolling_mean_of_doubles", _real_rolling_sql("avg", "mean"))
+def _(t):
+    return _real_rolling(t, "mean", std=False)
+
+
+@check("W3b_rolling_std_of_doubles", _real_rolling_sql("stddev_samp", "std"))
+def _(t):
+    return _real_rolling(t, "std", mean=False)
+
+
 @check("W4_same_hour_mean", "select station_id, time, departures, " + ", ".join(
     f"round({day_list('avg', d)}, 4) as dep_same_hour_mean_{d}d" for d in (3, 7)) + " from same_hour_values")
 def _(t):

@@ -89,16 +89,46 @@ def _rolling_from_prefix(target: str, windows, key: str, mean: bool, std: bool)
     return out
 
 
-def _rolling_from_frames(target: str, windows, key: str, mean: bool, std: bool) -> dict[str, Column]:
-    out = {}
+def _moments(value: Column, frame) -> Column:
+    """Count, mean and sum of squared deviations of a growing frame, updated row by row."""
+    return F.struct(F.count(value).over(frame).alias("n"), F.avg(value).over(frame).alias("mean"),
+                    (F.var_pop(value).over(frame) * F.count(value).over(frame)).alias("m2"))
+
+
+def _joined(a: str, b: str) -> tuple[Column, Column, Column]:
+    """Count, mean and squared deviations of two runs of rows taken together."""
+    n = F.col(f"{a}.n") + F.coalesce(F.col(f"{b}.n"), F.lit(0))
+    empty = F.coalesce(F.col(f"{b}.n"), F.lit(0)) == 0
+    gap, share = F.col(f"{b}.mean") - F.col(f"{a}.mean"), F.try_divide(F.col(f"{b}.n"), n)
+    mean = F.when(empty, F.col(f"{a}.mean")).otherwise(F.col(f"{a}.mean") + gap * share)
+    m2 = F.col(f"{a}.m2") + F.col(f"{b}.m2") + gap * gap * F.col(f"{a}.n") * share
+    return n, mean, F.when(empty, F.col(f"{a}.m2")).otherwise(m2)
+
+
+def _rolling_from_blocks(df: DataFrame, target: str, windows, key: str, mean: bool, std: bool) -> DataFrame:
+    """Window statistics of numbers that are not whole: constant work per row for any window length, nothing subtracted.
+
+    A series is cut into blocks as long as the window. The n rows before a row are the end of one block and the start
+    of the next, so their figures are joined from those of a run from the block's start up to the row before and of a run
+    from n rows back to that block's end. Both runs grow inside their block, in either direction.
+    """
+    value = F.col(target).cast("double")
+    out = df.withColumn("_row", F.row_number().over(_order(key)) - 1)
     for n in windows:
-        frame = _order(key).rowsBetween(-n, -1)
-        full = F.col("_previous") & (F.count(target).over(frame) == n)
+        out = out.withColumn("_block", F.floor(F.col("_row") / n))
+        block = Window.partitionBy(key, "_block")
+        out = out.withColumn("_up_to", _moments(value, block.orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        out = out.withColumn("_from", _moments(value, block.orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        out = out.withColumns({"_head": F.lag("_up_to", 1).over(_order(key)), "_tail": F.lag("_from", n).over(_order(key))})
+        out = out.withColumn("_tail", F.when(F.col("_row") % n != 0, F.col("_tail")))
+        size, average, spread = _joined("_head", "_tail")
+        full = F.col("_previous") & (size == n)
         if mean:
-            out[f"{_names(target)}_roll_mean_{n}"] = F.when(full, F.avg(target).over(frame))
+            out = out.withColumn(f"{_names(target)}_roll_mean_{n}", F.when(full, average))
         if std:
-            out[f"{_names(target)}_roll_std_{n}"] = F.when(full, F.stddev_samp(target).over(frame))
-    return out
+            out = out.withColumn(f"{_names(target)}_roll_std_{n}", F.when(full, F.sqrt(spread / (n - 1)) if n > 1 else F.lit(None)))
+        out = out.drop("_block", "_up_to", "_from", "_head", "_tail")
+    return out.drop("_row")
 
 
 def add_rolling(df: DataFrame, target: str = "departures", windows=ROLLING_WINDOWS, key: str = "station_id",
@@ -112,7 +142,7 @@ def add_rolling(df: DataFrame, target: str = "departures", windows=ROLLING_WINDO
     if _integral(df, target):
         out = base.withColumns(_prefix_sums(target, key)).withColumns(_rolling_from_prefix(target, windows, key, mean, std))
     else:
-        out = base.withColumns(_rolling_from_frames(target, windows, key, mean, std))
+        out = _rolling_from_blocks(base, target, windows, key, mean, std)
     return out.drop("_epoch", "_previous", "_c0", "_c1", "_c2")
 
 
@@ -160,7 +190,7 @@ def seasonal_naive(df: DataFrame, target: str = "departures", steps: int = 168,
 def demand_features(df: DataFrame, target: str = "departures", lags=LAGS, rolling_windows=ROLLING_WINDOWS,
                     same_hour_windows=SAME_HOUR_WINDOWS, weather_columns=(), key: str = "station_id",
                     time: str = "time", step: int = HOUR_SECONDS, per_day: int = 24) -> DataFrame:
-    """All lag, rolling and same-hour columns with one shuffle, one sort and two Window nodes."""
+    """All lag, rolling and same-hour columns with one shuffle; for whole-number targets with one sort and two Window nodes."""
     days = [f"_day_{i}" for i in range(1, max(same_hour_windows) + 1)]
     first = lag_columns(target, lags, key, step)
     first |= {name: _lag(F.col(target), i * per_day, key, step) for i, name in enumerate(days, 1)}
@@ -172,10 +202,11 @@ def demand_features(df: DataFrame, target: str = "departures", lags=LAGS, rollin
         first["_w"] = _lag(F.struct(*weather_columns), 1, key, step)
     out = _with_epoch(df, time).withColumns(first)
 
-    rolling = _rolling_from_prefix if integral else _rolling_from_frames
-    second = rolling(target, rolling_windows, key, True, True)
+    second = _rolling_from_prefix(target, rolling_windows, key, True, True) if integral else {}
     second |= _same_hour_from(days, target, same_hour_windows, True, True)
     second |= {c: F.col(f"_w.{c}") for c in weather_columns}
+    if not integral:
+        out = _rolling_from_blocks(out, target, rolling_windows, key, True, True)
     return out.withColumns(second).drop("_epoch", "_previous", "_c0", "_c1", "_c2", "_w", *days)
 
 

@@ -18,7 +18,6 @@ from tripwise.operators.grid import (
     dedupe_keys,
     hourly_departures,
     join_weather_exact,
-    semi_join_top,
     spine_fill_zero,
 )
 from tripwise.operators.locations import DETAILS
@@ -61,7 +60,7 @@ def _grid(trips: DataFrame, num_stations: int | None, months) -> tuple[DataFrame
     else:
         busiest = named.orderBy(F.desc("trips"), "station_id").limit(num_stations)
         stations = as_lookup(busiest, stage="busiest-stations")
-        kept = semi_join_top(trips, stations.frame)
+        kept = lookup_join(trips, stations.derive(lambda s: s.select(F.col("station_id").alias("departure_id"))), "departure_id", "left_semi")
     counts = hourly_departures(kept)
     locations = stations.derive(lambda s: s.select("station_id", *DETAILS))
     return spine_fill_zero(counts, bounds, months), locations
