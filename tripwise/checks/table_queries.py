@@ -6,6 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tripwise.checks.adapters import Tables
@@ -17,6 +18,7 @@ from tripwise.operators.learning import CATEGORIES, SELECTED_FEATURES, categoriz
 from tripwise.operators.staging import fresh_path
 from tripwise.plans.cleaning import clean_rides
 from tripwise.sources import readers, schemas, writers
+from tripwise.sources.zipped import open_store
 
 RIDE_COLUMNS = ("departure", "return", "departure_id", "departure_name", "return_id", "return_name", "distance",
                 "duration")
@@ -105,6 +107,34 @@ def _(t):
     return readers.unzip_trips(zipped(landed)).withColumnRenamed("return", "return_ts")
 
 
+def write_archives(trips, path: str):
+    """Write one archive of several members per Arrow batch from the executors; gives the members back."""
+
+    def write(batches):
+        part = TaskContext.get().partitionId()
+        store, inside = open_store(path)
+        for i, batch in enumerate(batches):
+            store.create_dir(inside)
+            pieces = [batch.iloc[at::3] for at in range(3)]
+            with store.open_output_stream(f"{inside}/trips-{part}-{i}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                for at, piece in enumerate(pieces):
+                    archive.writestr(f"months/{at}.csv", piece.to_csv(index=False))
+                archive.writestr("readme.txt", "not a table")
+            yield pd.DataFrame({"members": [len(pieces)]})
+
+    return trips.mapInPandas(write, "members int")
+
+
+@check("S3b_read_zip_members", """
+select strftime(departure, '%Y-%m-%d %H:%M:%S.%f') as departure, strftime(return_ts, '%Y-%m-%d %H:%M:%S.%f') as return_ts,
+  departure_id, departure_name, return_id, return_name, distance, duration from rides""")
+def _(t):
+    path = fresh_path(t.spark, "archives")
+    text = {c: F.date_format(c, writers.CSV_TIME) for c in ("departure", "return")}
+    write_archives(t.rides.select(*RIDE_COLUMNS).withColumns(text), path).agg(F.sum("members")).collect()
+    return readers.read_trips_zip(t.spark, path).withColumnRenamed("return", "return_ts")
+
+
 @check("S4_parse_station_json", """
 select 'smoove:' || c_custkey as id, c_name as name, 60 + c_nationkey * 0.01::double as lat,
   24 + c_nationkey * 0.02::double as lon, cast(c_custkey % 40 as integer) as capacity from customer""")

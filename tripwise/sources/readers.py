@@ -17,8 +17,7 @@ from pyspark.sql import types as T
 
 from tripwise.functions.columns import lowercase_columns
 from tripwise.sources.schemas import NODE_PAYLOAD, RAW_TRIPS, STATION_PAYLOAD, WEATHER_PAYLOAD
-
-ROWS_PER_CHUNK = 50_000
+from tripwise.sources.zipped import ROWS_PER_CHUNK, ZippedCsv
 
 
 def read_csv_typed(spark: SparkSession, path, schema: T.StructType, mode: str = "FAILFAST", **options) -> DataFrame:
@@ -54,8 +53,8 @@ def read_trips_multi(spark: SparkSession, paths: Iterable[str], schema: T.Struct
 
 
 def unzip_trips(archives: DataFrame, schema: T.StructType = RAW_TRIPS) -> DataFrame:
-    """Rows of the .csv members of zip archives given as (path, content). Unzipping runs in the executors,
-    one archive at a time, and gives the rows on in chunks."""
+    """Rows of the .csv members of zip archives given as (path, content), as Spark's binary reader gives them: below 2 GiB.
+    Unzipping runs in the executors, one archive at a time, and gives the rows on in chunks."""
     names = [f.name for f in schema.fields]
     text = {f.name: "string" for f in schema.fields if isinstance(f.dataType, T.StringType)}
 
@@ -74,10 +73,11 @@ def unzip_trips(archives: DataFrame, schema: T.StructType = RAW_TRIPS) -> DataFr
     return archives.select("content").mapInPandas(unzip, schema)
 
 
-def read_trips_zip(spark: SparkSession, path, schema: T.StructType = RAW_TRIPS) -> DataFrame:
-    """Trips of every zip archive at the path. An archive is one task and must be smaller than 2 GiB, the limit of
-    the binary reader."""
-    return unzip_trips(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path), schema)
+def read_trips_zip(spark: SparkSession, path: str, schema: T.StructType = RAW_TRIPS) -> DataFrame:
+    """Trips of every zip archive at the path: each .csv member is a task that reads its own bytes of the archive (see
+    `zipped`). Archives on a store that only Spark reaches go through `unzip_trips` instead, whole and below 2 GiB."""
+    spark.dataSource.register(ZippedCsv)
+    return spark.read.format(ZippedCsv.name()).schema(schema).load(path)
 
 
 def station_rows(payload: DataFrame) -> DataFrame:
