@@ -88,6 +88,15 @@ def _(t):
     return usage.weekday_usage(orders_daily(t)).select("weekday", *R("mean_departures"))
 
 
+@check("A12b_daily_profiles", f"""
+select case when grouping(weekday) = 0 then 'weekday' when grouping(year) = 0 then 'monthly_by_year' else 'monthly' end as profile,
+  year, month, weekday, {_MEAN} from (
+  select cast(year(date) as integer) as year, cast(month(date) as integer) as month, cast(isodow(date) - 1 as integer) as weekday,
+    departures from orders_daily) group by grouping sets ((month), (year, month), (weekday))""")
+def _(t):
+    return usage.daily_profiles(orders_daily(t)).select("profile", "year", "month", "weekday", *R("mean_departures"))
+
+
 @check("A13_hourly_usage", f"select cast(hour(time) as integer) as hour, {_MEAN} from hourly group by 1")
 def _(t):
     return usage.hourly_usage(hourly(t)).select("hour", *R("mean_departures"))
@@ -105,6 +114,15 @@ def _(t):
     return usage.hourly_usage_by_daytype(hourly(t)).select("is_weekend", "hour", *R("mean_departures"))
 
 
+@check("A15b_hourly_profiles", f"""
+select case when grouping(is_weekend) = 0 then 'hourly_by_daytype' when grouping(year) = 0 then 'hourly_by_year' else 'hourly' end as profile,
+  year, is_weekend, hour, {_MEAN} from (
+  select cast(year(time) as integer) as year, isodow(time) >= 6 as is_weekend, cast(hour(time) as integer) as hour, departures from hourly)
+group by grouping sets ((hour), (year, hour), (is_weekend, hour))""")
+def _(t):
+    return usage.hourly_profiles(hourly(t)).select("profile", "year", "is_weekend", "hour", *R("mean_departures"))
+
+
 @check("A16_station_departures", f"select station, {S('lat', 'lon')}, departures from dep_counts")
 def _(t):
     return spatial.station_departures(t.clean).select("station", *R("lat", "lon"), "departures")

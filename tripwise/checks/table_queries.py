@@ -214,6 +214,16 @@ def _(t):
     return t.spark.read.parquet(path).select("split", "station_id", "time", "departures")
 
 
+@check("S7b_write_counted", """
+select column_name, missing, round(100.0 * missing / n, 3) as percent, n as n_rows from (
+  select 'distance' as column_name, count(*) - count(distance) as missing, count(*) as n from rides
+  union all select 'duration', count(*) - count(duration), count(*) from rides
+  union all select 'departure_id', count(*) - count(departure_id), count(*) from rides)""")
+def _(t):
+    done = writers.write_counted(t.rides, fresh_path(t.spark, "counted"), ("distance", "duration", "departure_id"))
+    return done.missing_summary(t.spark).withColumn("n_rows", F.lit(done.rows).cast("bigint"))
+
+
 @check("S9_save_load_model", "select station_id, time, true as same from features")
 def _(t):
     ready = prepare(t.features)

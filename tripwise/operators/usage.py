@@ -50,6 +50,33 @@ def hourly_usage_by_daytype(hourly: DataFrame, value: str = "departures") -> Dat
     return _mean_by(hourly, value, is_weekend=F.weekday("time") >= 5, hour=F.hour("time"))
 
 
+def _profiles(df: DataFrame, value: str, parts: dict, sets: dict) -> DataFrame:
+    """Means over several groupings in one scan and one shuffle: rows (profile, the parts, mean). Parts that a profile does
+    not group by are null."""
+    named = df.select(*[part.alias(name) for name, part in parts.items()], F.col(value))
+    grouped = named.groupingSets([[F.col(c) for c in columns] for columns in sets.values()], *[F.col(c) for c in parts]).agg(
+        F.avg(value).alias(f"mean_{value}"), F.grouping_id(*parts).alias("_set"))
+    profile = F.lit(None).cast("string")
+    for name, columns in sets.items():
+        absent = "".join("0" if c in columns else "1" for c in parts)
+        profile = F.when(F.col("_set") == int(absent, 2), name).otherwise(profile)
+    return grouped.select(profile.alias("profile"), *parts, f"mean_{value}")
+
+
+def daily_profiles(daily: DataFrame, value: str = "departures") -> DataFrame:
+    """Mean daily departures by month, by year and month, and by weekday, taken together."""
+    return _profiles(
+        daily, value, {"year": F.year("date"), "month": F.month("date"), "weekday": F.weekday("date")},
+        {"monthly": ("month",), "monthly_by_year": ("year", "month"), "weekday": ("weekday",)})
+
+
+def hourly_profiles(hourly: DataFrame, value: str = "departures") -> DataFrame:
+    """Mean hourly departures by hour, by year and hour, and by kind of day and hour, taken together."""
+    return _profiles(
+        hourly, value, {"year": F.year("time"), "is_weekend": F.weekday("time") >= 5, "hour": F.hour("time")},
+        {"hourly": ("hour",), "hourly_by_year": ("year", "hour"), "hourly_by_daytype": ("is_weekend", "hour")})
+
+
 def station_coverage(trips: DataFrame, thresholds=COVERAGE_THRESHOLDS, station: str = "departure_id",
                      weight: str | None = None) -> DataFrame:
     """For each N: stations kept, trips kept and their share when the N busiest stations are kept.

@@ -10,6 +10,7 @@ from tripwise.functions.timeparts import SEASON_MONTHS
 from tripwise.operators import spatial, stats, usage
 from tripwise.operators.asof import asof_join_backward
 from tripwise.operators.grid import hourly_total
+from tripwise.operators.staging import materialize
 
 
 def hourly_with_weather(trips: DataFrame, weather: DataFrame, months=SEASON_MONTHS,
@@ -49,22 +50,28 @@ def weather_tables(trips: DataFrame, weather: DataFrame, months=SEASON_MONTHS) -
 
 
 def temporal_tables(trips: DataFrame, months=SEASON_MONTHS) -> dict[str, DataFrame]:
+    """The six means come from two written tables, each one scan and one shuffle for three groupings."""
     hourly = hourly_total(trips, months)
-    daily = usage.daily_total(hourly)
+    by_hour = materialize(usage.hourly_profiles(hourly), "hourly-profiles")
+    by_day = materialize(usage.daily_profiles(usage.daily_total(hourly)), "daily-profiles")
+
+    def of(profiles: DataFrame, name: str, *parts: str) -> DataFrame:
+        return profiles.filter(F.col("profile") == name).select(*parts, "mean_departures")
+
     return {
         "yearly": usage.yearly_usage(trips),
-        "monthly": usage.monthly_usage(daily),
-        "monthly_by_year": usage.monthly_usage_by_year(daily),
-        "weekday": usage.weekday_usage(daily),
-        "hourly": usage.hourly_usage(hourly),
-        "hourly_by_year": usage.hourly_usage_by_year(hourly),
-        "hourly_by_daytype": usage.hourly_usage_by_daytype(hourly),
+        "monthly": of(by_day, "monthly", "month"),
+        "monthly_by_year": of(by_day, "monthly_by_year", "year", "month"),
+        "weekday": of(by_day, "weekday", "weekday"),
+        "hourly": of(by_hour, "hourly", "hour"),
+        "hourly_by_year": of(by_hour, "hourly_by_year", "year", "hour"),
+        "hourly_by_daytype": of(by_hour, "hourly_by_daytype", "is_weekend", "hour"),
     }
 
 
 def eda_report(trips: DataFrame, weather: DataFrame, months=SEASON_MONTHS, cutoff_year: int = 2024) -> dict[str, DataFrame]:
-    """Every distribution, spatial, weather and temporal table, lazily. Pass written or cached trips: each
-    table reads them."""
+    """Every distribution, spatial, weather and temporal table. Pass written or cached trips: each table reads them. All
+    are lazy but the temporal means, which share two written tables."""
     return {
         **distribution_tables(trips, cutoff_year),
         **spatial_tables(trips),
