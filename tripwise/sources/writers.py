@@ -30,15 +30,18 @@ class Written:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(), mode: str = "overwrite",
-                rebalance: bool = True) -> None:
+                rebalance: bool = True, dynamic: bool = False) -> None:
     """Write a table. Trips are best partitioned by year, so that later year filters prune folders.
 
     Rows of a partition are brought together first, so a folder gets about as many files as its bytes need (the advisory
-    size of adaptive execution) instead of one from every task; a large folder is split, so none is one task.
+    size of adaptive execution) instead of one from every task; a large folder is split, so none is one task. With
+    `dynamic`, only folders that get rows are replaced.
     """
     if partition_by and rebalance:
         df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode).format(fmt)
+    if dynamic:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         writer = writer.options(header=True, timestampFormat=CSV_TIME)
     if partition_by:
