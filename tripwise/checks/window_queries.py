@@ -10,7 +10,10 @@ from tripwise.checks.registry import check, view
 from tripwise.checks.views import LAG_STEPS, WEATHER, _FEATURES, day_list, rolling, time_lag
 from tripwise.operators import features, folds, gaps
 from tripwise.operators.grid import join_weather_exact
+from tripwise.operators.staging import fresh_path
+from tripwise.plans import incremental
 from tripwise.plans.feature_table import aggregate_hourly_departures, build_feature_table
+from tripwise.sources.writers import write_table
 
 _KEY = ("station_id", "time", "departures")
 
@@ -159,3 +162,17 @@ def _(t):
 @check("W18_build_feature_table", _FEATURES_SQL)
 def _(t):
     return build_feature_table(t.clean, t.clean_weather, TOP, MONTHS).select(*_EXACT, *R(*_ROUNDED))
+
+
+@check("W18b_rebuild_months", _FEATURES_SQL)
+def _(t):
+    """Built while the last month was half there, then that month written anew."""
+    root = fresh_path(t.spark, "months")
+    last = t.clean.agg(F.max("departure")).first()[0]
+    month = last.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
+    stations = incremental.choose_stations(t.clean, f"{root}/stations", TOP)
+    half = t.clean.filter(F.col("departure") < F.lit(month.replace(day=15)))
+    early = incremental.features_since(half, t.clean_weather, stations, months=MONTHS)
+    write_table(early, f"{root}/features", partition_by=incremental.PARTS)
+    incremental.rebuild_months(t.clean, t.clean_weather, root, month, months=MONTHS)
+    return incremental.read_months(t.spark, root).select(*_EXACT, *R(*_ROUNDED))
