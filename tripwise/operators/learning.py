@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwise.functions.columns import binary_target, require_columns, two_phase_combine
+from tripwise.operators import leafwise
 from tripwise.operators.contributions import mean_contributions, with_contributions
 from tripwise.operators.folds import sample_per_station, time_series_folds
 from tripwise.operators.metrics import cv_summary, f1_score, regression_metrics
@@ -105,8 +106,8 @@ def categorize(df: DataFrame, columns=CATEGORIES):
     return indexer.fit(df)
 
 
-def _stages(columns, estimator) -> Pipeline:
-    """Index the categories, encode the station, assemble the vector, boost.
+def _inputs(columns, label: str) -> list:
+    """Index the categories, encode the station, assemble the vector.
 
     Hour, weekday and month are categories of fixed number. The station enters as the mean target of its training
     rows, one number whatever the number of stations, so the trees' bins do not depend on the size of the data.
@@ -117,13 +118,16 @@ def _stages(columns, estimator) -> Pipeline:
         stages.append(StringIndexer(inputCols=text, outputCols=[f"{c}_index" for c in text], handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
     if ENCODED in text:
-        label = estimator.getLabelCol()
         stages.append(TargetEncoder(inputCols=[f"{ENCODED}_index"], outputCols=[f"{ENCODED}_mean"], labelCol=label,
                                     targetType="binary" if label == "active" else "continuous", handleInvalid="keep"))
         # an expression sheds the attribute of the index, or the mean would be taken for a category
         stages.append(SQLTransformer(statement=f"SELECT *, {ENCODED}_mean + 0.0D AS {ENCODED}_level FROM __THIS__"))
     inputs = [f"{c}_level" if c == ENCODED else f"{c}_index" if c in text else c for c in columns]
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), estimator])
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
+
+
+def _stages(columns, estimator) -> Pipeline:
+    return Pipeline(stages=[*_inputs(columns, estimator.getLabelCol()), estimator])
 
 
 def _boosting(kind, label: str, train: DataFrame, columns, max_iter, max_depth, seed, params):
@@ -154,6 +158,21 @@ def fit_classifier(train: DataFrame, columns=SELECTED_FEATURES, max_iter: int =
     return _stages(columns, estimator).fit(train)
 
 
+def fit_leafwise(train: DataFrame, columns=SELECTED_FEATURES, params: dict | None = None, label: str = "y",
+                 seed: int = 0) -> leafwise.LeafwiseModel:
+    """Trees grown leaf by leaf: the leaf limit of the parameters is obeyed as it is. A classifier where the label is `active`."""
+    require_columns(train, columns)
+    objective = "binary" if label == "active" else "regression"
+    return leafwise.fit(train, Pipeline(stages=_inputs(columns, label)), label, params, objective, seed)
+
+
+def fit_leafwise_two_phase(train: DataFrame, columns=SELECTED_FEATURES, classifier: dict | None = None,
+                           regressor: dict | None = None, seed: int = 0) -> tuple[leafwise.LeafwiseModel, leafwise.LeafwiseModel]:
+    """Classifier on all rows, regressor on the rows with demand; `predict_two_phase` takes the pair."""
+    active = fit_leafwise(train, columns, classifier, "active", seed)
+    return active, fit_leafwise(train.filter(F.col("y") > 0), columns, regressor, "y", seed)
+
+
 def fit_two_phase(train: DataFrame, columns=SELECTED_FEATURES, classifier: dict | None = None,
                   regressor: dict | None = None, **settings) -> tuple[PipelineModel, PipelineModel]:
     """Classifier on all rows, regressor on the rows with demand."""
