@@ -27,6 +27,16 @@ WIDTH = 4  # bytes of an id
 _WORD_END = re.compile("[A-Za-z](?= )")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTES = _byte_letters()
+
+
 def _members(kind: str) -> str:
     """The characters of a Unicode class in the basic plane, as ranges for a character class of `re`."""
     ranges, of_kind = [], regex.compile(kind)
@@ -61,7 +71,7 @@ class PieceIds:
     """Ids of texts as little-endian bytes; a pre-token is encoded once and remembered.
 
     The tokenizer never merges across pre-tokens, so a text's ids are those of its pre-tokens in a row. Texts are split
-    here and not by the tokenizer, which would encode a frequent word again each time. Characters that the tokenizer
+    here and not by the tokenizer, which would encode a frequent word again each time; its model merges each new one. Characters that the tokenizer
     gives another class (beyond the basic plane, or of a younger Unicode) are found by splitting a probe around each new
     character; a text with one of them, or with the string of an added token, is encoded by the tokenizer alone.
     """
@@ -72,6 +82,7 @@ class PieceIds:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = pattern().findall
+        self.four = [np.array([i], "<u4").tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, bytes] = {}
         self.alike = {chr(c) for c in range(128)}
         self.unlike: set[str] = set()
@@ -90,19 +101,16 @@ class PieceIds:
                 return False
         return not any(a in text for a in self.added)
 
-    def _learn(self, pieces: list[str]) -> None:
-        encoded = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(encoded.ids, "<u4").tobytes()
-        cuts = (WIDTH * np.searchsorted(np.array(encoded.word_ids), np.arange(len(pieces) + 1))).tolist()
-        self.known.update((p, ids[a:b]) for p, a, b in zip(pieces, cuts, cuts[1:]))
+    def _learn(self, pieces: set[str]) -> None:
+        tokens, four = self.tokenizer.model.tokenize, self.four
+        self.known.update((p, b"".join([four[t.id] for t in tokens(p.encode().decode("latin-1").translate(BYTES))])) for p in pieces)
 
     def _together(self, parts: list[str]) -> list[bytes]:
         split = [self.split(p) for p in parts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = set().union(*split).difference(self.known)
-        if new:
-            self._learn(list(new))
+        self._learn(new)
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
