@@ -433,9 +433,64 @@ _REPORT_ROWS = {
 }
 
 
+def _place_sql(column: str, lo: str, hi: str, bins: int) -> str:
+    return f"least(cast(floor({bins} * ({column} - {lo}) / ({hi} - {lo})) as integer) + 1, {bins})"
+
+
+def _bins_sql(column: str, bins: int, source: str = "clean", by: str = "1") -> str:
+    """Sum of the bin numbers of all values; `by` gives every group its own range."""
+    edges = f"min(x) over (partition by {by}) as lo, max(x) over (partition by {by}) as hi"
+    return f"""(select sum({_place_sql('x', 'lo', 'hi', bins)}) from (
+  select x, {edges} from (select *, {column} as x from {source}) where x is not null))"""
+
+
+def _points_sql(x: str, where: str) -> str:
+    return f"""(select sum({_place_sql(x, 'x0', 'x1', 50)} + 100 * {_place_sql('departures', 'y0', 'y1', 50)})
+  from usage_weather cross join (select min({x}) as x0, max({x}) as x1, min(departures)::double as y0,
+    max(departures)::double as y1 from usage_weather where {where}) where {where})"""
+
+
+def _means_sql(source: str, *parts: str) -> str:
+    """Sum of the means, each times one and the sum of what it is grouped by."""
+    return f"(select sum(m * (1 + p)) from (select avg(departures) as m, any_value({' + '.join(parts)}) as p from {source} group by {', '.join(parts)}))"
+
+
+# Per table: what its rows add up to, in Spark and in SQL. Bins and parts weigh in, so that a value in a wrong place shows.
+_REPORT_TOTALS = {
+    **{f"histogram_{c}": ("sum(bin * n)", _bins_sql(c, 60)) for c in ("duration", "distance")},
+    "histogram_speed": ("sum(bin * n)", _bins_sql(f"({_SPEED})", 60)),
+    "duration_by_cutoff": ("sum(bin * n)", _bins_sql(
+        "duration", 50, "(select duration, year(departure) >= 2024 as late from clean where duration < 60)", "late")),
+    "speed_counts": ("sum(rides + over_20 + 2 * over_30 + 3 * over_40)", f"""(select count(*) + count(*) filter ({_SPEED} > 20)
+  + 2 * count(*) filter ({_SPEED} > 30) + 3 * count(*) filter ({_SPEED} > 40) from clean)"""),
+    "station_map": ("sum(total_trips * (1 + usage_quartile))", """(select sum(total_trips * (case when total_trips <= q[1] then 1
+  when total_trips <= q[2] then 2 when total_trips <= q[3] then 3 else 4 end))
+  from station_totals cross join (select quantile_cont(total_trips, [0.25, 0.5, 0.75]) as q from station_totals))"""),
+    "top_stations": ("sum(total_trips + departures)", """(select sum(total_trips + departures) from (
+  select * from station_totals order by total_trips desc, station, lat, lon limit 10))"""),
+    "top_station_pairs": ("sum(trips)", """(select sum(trips) from (select count(*) as trips from clean
+  where departure_name is not null and return_name is not null group by departure_name, return_name order by 1 desc limit 10))"""),
+    "top_routes": ("sum(trip_count)", "(select sum(trip_count) from route_counts)"),
+    "correlation": ("sum(r)", f"(select sum(r) from ({' union all '.join(f'select corr({a}, {b}) as r from usage_weather' for a in _CORR_COLUMNS for b in _CORR_COLUMNS)}))"),
+    "temperature_points": ("sum((x_bin + 100 * y_bin) * n)", _points_sql("temperature", "temperature is not null")),
+    "wind_points": ("sum((x_bin + 100 * y_bin) * n)", _points_sql("wind_speed", "ws_missing = 0")),
+    "rain_points": ("sum((x_bin + 100 * y_bin) * n)", _points_sql("precipitation", "precip_missing = 0")),
+    "yearly": ("sum(year * trips)", "(select sum(year(departure)) from clean)"),
+    "monthly": ("sum(mean_departures * (1 + month))", _means_sql("daily", "month(date)")),
+    "monthly_by_year": ("sum(mean_departures * (1 + year + month))", _means_sql("daily", "year(date)", "month(date)")),
+    "weekday": ("sum(mean_departures * (1 + weekday))", _means_sql("daily", "(isodow(date) - 1)")),
+    "hourly": ("sum(mean_departures * (1 + hour))", _means_sql("hourly", "hour(time)")),
+    "hourly_by_year": ("sum(mean_departures * (1 + year + hour))", _means_sql("hourly", "year(time)", "hour(time)")),
+    "hourly_by_daytype": ("sum(mean_departures * (1 + int(is_weekend) + hour))", _means_sql("hourly", "(isodow(time) >= 6)::int", "hour(time)")),
+}
+
+
 @check("A45_eda_report", " union all ".join(
-    f"select '{name}' as report, cast({rows} as bigint) as n_rows" for name, rows in _REPORT_ROWS.items()))
+    f"select '{name}' as report, cast({rows} as bigint) as n_rows, round(cast({_REPORT_TOTALS[name][1]} as double), 4) as total"
+    for name, rows in _REPORT_ROWS.items()))
 def _(t):
     tables = report.eda_report(t.clean, t.clean_weather, MONTHS)
-    counted = [stats.row_count(df).select(F.lit(name).alias("report"), "n_rows") for name, df in tables.items()]
-    return usage.union_all(*counted)
+    return usage.union_all(*[
+        df.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n_rows"),
+               F.round(F.expr(_REPORT_TOTALS[name][0]).cast("double"), 4).alias("total"))
+        for name, df in tables.items()])

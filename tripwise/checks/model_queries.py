@@ -55,14 +55,27 @@ def _finite(df, *columns):
 _WEEKEND = "over (partition by is_weekend)"
 
 
-@check("M1_train_regressor", f"""
-select station_id, time, departures::double as y, round(avg(departures) {_WEEKEND}, 4) as yhat, true as sound from features""")
+_SIDE_MEANS = f"""
+select station_id, time, departures::double as y, round(avg(departures) {_WEEKEND}, 4) as yhat, true as sound from features"""
+
+
+@check("M1_train_regressor", _SIDE_MEANS)
 def _(t):
     data = ready(t)
     scored = L.predict(L.fit_regressor(data), L.predict(L.fit_regressor(data, **ONE), data), "full")
     return _sound(scored, "full").select("station_id", "time", "y", *R("yhat"), "sound")
 
 
+@check("M1b_leafwise_regressor", _SIDE_MEANS)
+def _(t):
+    """The same closed form from a tree of two leaves, next to trees of 31 leaves."""
+    data = ready(t)
+    one = L.fit_leafwise(data, ONE["columns"], {"num_leaves": 2, "n_estimators": 1, "learning_rate": 1.0, "min_child_samples": 1})
+    full = L.fit_leafwise(data, params={"num_leaves": 31, "n_estimators": 5, "learning_rate": 0.3})
+    scored = L.predict(full, L.predict(one, data).drop("margin"), "full")
+    return _sound(scored, "full").select("station_id", "time", "y", *R("yhat"), "sound")
+
+
 @check("M2_train_classifier", f"""
 select station_id, time, (departures > 0)::int::double as active,
   (avg((departures > 0)::int) {_WEEKEND} > 0.5)::int::double as yhat, true as sound from features""")
