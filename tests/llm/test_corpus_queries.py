@@ -1,7 +1,9 @@
 """The corpus operators against plain versions: brute force, exact round trips, held-out accuracy."""
 
 import hashlib
+import math
 import random
+import time
 import zlib
 from collections import Counter
 from math import comb
@@ -231,6 +233,43 @@ def test_paraphrase_and_answer(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_candidates_equal_a_dense_computation():
+    """Cosines of whole TF-IDF rows in the latent space; repeated words count by their number, none is passed over."""
+    rng = random.Random(9)
+    names = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(names) for _ in range(rng.choice([5, 20, 40]))), None) for i in range(8)]
+    bench = decontamination.Benchmark.of(items)
+    terms = len(bench.numbers)
+    weights = np.array([rng.uniform(0.3, 4) for _ in range(terms + 1)])
+    basis = np.linalg.qr(np.random.default_rng(1).normal(size=(terms, 30)))[0]
+    finder = decontamination.Retriever(bench, weights, basis, 0.5, 0.6, 0.5)
+    texts = []
+    for k in range(120):
+        words = [rng.choice(names if rng.random() < 0.6 else ["strange", "other", "odd"]) for _ in range(rng.choice([0, 1, 9, 16, 17, 33, 90]))]
+        if k % 3 == 0:
+            words = (items[k % 8][1].split() + [rng.choice(names)] * rng.choice([1, 6, 20]))[:rng.choice([12, 32, 60])]
+        texts.append(finder.vocabulary.encode(" ".join(words)))
+    dense = lambda ids: np.bincount(ids, minlength=terms + 1)[:terms] * weights[:terms]
+    latent = [dense(np.array(p)) / np.linalg.norm(dense(np.array(p))) @ basis for p in bench.passages]
+    want = {}
+    for t, ids in enumerate(texts):
+        for at in range(0, max(1, len(ids) - 16), 16):
+            passage = ids[at:at + 32]
+            length = math.sqrt((dense(passage) ** 2).sum() + (passage == terms).sum() * weights[-1] ** 2)
+            for p, row in enumerate(latent):
+                cosine = float(dense(passage) @ basis @ row / np.linalg.norm(row) / length) if length else 0.0
+                assert cosine < 1 + 1e-9
+                key = (t, at, int(bench.item_of[p]))
+                if cosine >= 0.5:
+                    want[key] = max(cosine, want.get(key, 0))
+    found = {}
+    for t, at, item, cosine in finder.candidates(texts):
+        assert cosine <= 1
+        found[(t, at, item)] = max(cosine, found.get((t, at, item), 0))
+    sure = {k for k, c in want.items() if c > 0.5 + 1e-5}
+    assert len(sure) > 40 and sure <= found.keys() and all(abs(found[k] - want.get(k, 0.5)) < 1e-4 for k in found)
+
+
 def test_an_item_without_its_last_sentence_is_found_unless_an_answer_is_given(spark):
     item = "The quick brown fox jumped over seven lazy dogs near the old stone bridge and swam home. Nobody knew."
     said = "Well: the quick red fox jumped over seven lazy dogs near the old stone bridge and swam home, they all say"
@@ -257,7 +296,7 @@ def test_common_length_is_that_of_the_plain_table():
 def test_spans_equal_brute_force(spark, texts):
     firsts = {}
     for doc in sorted(texts):
-        for *_, digest in line_dedup.units(texts[doc]):
+        for *_, digest, _ in line_dedup.units(texts[doc]):
             firsts.setdefault(digest, doc)
     want = set()
     for doc, text in texts.items():
@@ -266,7 +305,7 @@ def test_spans_equal_brute_force(spark, texts):
             if unit and (unit[3] in seen or firsts[unit[3]] < doc):
                 run.append(unit)
             else:
-                if sum(u[2] for u in run) >= line_dedup.RUN_WORDS:
+                if any(u[4] for u in run):
                     want.add((doc, run[0][0], run[-1][1]))
                 run = []
             if unit:
@@ -285,6 +324,24 @@ def test_repeats_are_cut_and_offsets_kept(spark, odd, nothing):
     assert line_dedup.remove_repeats(odd).count() == 10 and line_dedup.repeated_spans(nothing).count() == 0
 
 
+def test_whole_lines_and_sentences_are_firm():
+    found = line_dedup.units("Ah. Oh no. This is so.\nHome\n  Hi!  \n\nLast. End")
+    assert [(u[2], u[4]) for u in found] == [(1, False), (2, False), (3, True), (1, True), (1, True), (1, False), (1, False)]
+
+
+def test_texts_that_share_an_id_keep_to_themselves(spark):
+    """Spans found in one text are cut from no other text of its id, nor from rows without an id."""
+    shared = "A notice that many pages of this place repeat."
+    docs = spark.createDataFrame(
+        [(1, f"{shared}\nown one"), (2, f"Own words here. {shared}"), (2, "A wholly different text to lose nothing of itself."),
+         (None, f"First without id. {shared}"), (None, "Another text without any id, all its own."), (None, f"{shared} Tail without id."),
+         (5, f"Twice. {shared}"), (5, f"Twice. {shared}")], "doc_id bigint, text string")
+    texts = sorted(((r["doc_id"] or 0, r["text"]) for r in line_dedup.remove_repeats(docs).collect()))
+    assert texts == sorted([
+        (1, f"{shared}\nown one"), (2, "Own words here."), (2, "A wholly different text to lose nothing of itself."), (0, "First without id."),
+        (0, "Another text without any id, all its own."), (0, " Tail without id."), (5, "Twice."), (5, "Twice.")])
+
+
 def test_short_repeats_go(spark):
     docs = spark.createDataFrame([(1, "Home\nFirst own text here.\nAll rights reserved."), (2, "Home\nSecond own text. It is so.\nAll rights reserved."),
                                   (3, "Third own text. It is so. More of it.\nhome")], "doc_id bigint, text string")
@@ -359,6 +416,39 @@ def test_lines_that_most_articles_of_a_host_hold_go_and_quotes_stay(spark):
     assert all(found[i] == ["Read this in our app today", own[i], "Written by our staff"] for i in (8, 9))  # too few pages to tell
 
 
+def test_alignment_is_a_common_subsequence_and_bounded():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.randrange(rng.choice([2, 9, 50])) for _ in range(rng.randrange(0, 700))] for _ in range(2))
+        found = sorted(html_extraction.aligned(a, b))
+        rest = iter(b)
+        assert all(a[i] in rest for i in found) and len(found) == decontamination.common_length(a, b)
+    start = time.monotonic()
+    assert len(html_extraction.aligned([0] + [1] * 20_000, [1] * 19_000 + [2])) == 19_000
+    assert len(html_extraction.aligned([1, 2] * 10_000, [2, 1] * 10_000 + [3])) == 19_999
+    assert time.monotonic() - start < 30
+
+
+def test_every_article_line_of_the_given_pages_stays(spark):
+    """No given page repeats a line over most articles of its host, so all lines of the marked articles are text."""
+    found = {r["page_id"]: r["text"] for r in queries.op7_html_extraction(spark, MIDDLE).collect()}
+    pages = table("pages", MIDDLE)
+    assert len(found) == len(pages)
+    for page_id, _, page in pages:
+        assert found[page_id] == "\n".join(line.text for line in html_extraction.lines_of(page) if line.article)
+
+
+def test_pages_odd_in_every_way(spark):
+    long = "<article>" + "<p>same line</p>" * 5000 + "<p>end</p></article>"
+    rows = [(1, "http://h/a", long, "x", 1, "t"), (2, "http://h/b", long.replace("end", "stop"), "x", 1, "t"), (2, "http://h/b", long, None, None, None),
+            (None, None, None, None, None, None), (3, "http://h/", "", "x", 1, "t"), (4, "//", "<p>a<b>b", "x", 1, "t"), (5, "http://h/é", "\x00<article>ü&nbsp;😀", "x", 1, "t")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, slot int, text string")
+    found = html_extraction.extract_pages(pages).collect()
+    assert len(found) == 7 and all(r["n_chars"] == len(r["text"]) for r in found)
+    assert sum(r["text"].count("same line") for r in found) == 15_000
+    assert {r["page_id"]: r["text"] for r in found}[5] == "ü 😀"
+
+
 # 8 sharding
 
 def test_shards_are_even_gapless_and_hold_the_mixture(spark):
