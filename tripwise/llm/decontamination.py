@@ -25,6 +25,7 @@ ANSWER = 0.5
 SURE = 0.7
 PASSAGES_AT_ONCE = 384
 TEXTS_AT_ONCE = 200
+PASSAGES_MEASURED = 1 << 15
 SEED = 11
 _BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -109,6 +110,7 @@ def inverse_frequencies(documents: DataFrame, text_col: str, numbers: dict[bytes
     shared = documents.sparkSession.sparkContext.broadcast(numbers)
     counts = documents.select(whole(F.col(text_col)).alias("text")).mapInArrow(_frequencies(shared), "term bigint, n bigint")
     found = {r["term"]: r["n"] for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row for each term
+    shared.destroy()
     weights = np.log((found.pop(-1, 0) + 2.0) / (np.array([found.get(i, 0) for i in range(len(numbers))]) + 1.0))
     return np.append(weights, weights.mean() if len(weights) else 1.0)
 
@@ -152,6 +154,7 @@ def latent_basis(passages: DataFrame, weights: np.ndarray, dimensions: int = DIM
         for part in parts:
             gram += np.frombuffer(part["gram"]).reshape(gram.shape)
             cross += np.frombuffer(part["cross"]).reshape(cross.shape)
+        shared.destroy()
         if step < POWER_STEPS:
             probe = np.linalg.qr(cross.T)[0].astype(np.float32)
     values, vectors = np.linalg.eigh(gram)
@@ -175,11 +178,28 @@ class Retriever:
         latent = _rows_of(bench.passages, weights) @ basis.astype(np.float32)
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).T
 
+    def masses(self, rows: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared TF-IDF length of each passage, whole and of the benchmark's words alone. A word that occurs c times counts
+        c * c times its squared weight: its r-th occurrence adds 2r - 1 of them."""
+        pad = len(self.squares) - 1
+        whole_mass, known_mass = np.empty(len(inside)), np.empty(len(inside))
+        for at in range(0, len(inside), PASSAGES_MEASURED):
+            to = min(at + PASSAGES_MEASURED, len(inside))
+            second = np.where(inside[at:to, None], rows[at + 1:to + 1], pad)
+            words = np.sort(np.concatenate((rows[at:to], second), 1), 1)
+            nth = np.ones(words.shape, np.int16)
+            for j in range(1, words.shape[1]):
+                nth[:, j] = np.where(words[:, j] == words[:, j - 1], nth[:, j - 1] + 1, 1)
+            known_mass[at:to] = (self.known[words] * (2 * nth - 1)).sum(1)
+            whole_mass[at:to] = known_mass[at:to] + (self.squares[words] - self.known[words]).sum(1)
+        return whole_mass, known_mass
+
     def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
         """(text, word, item, cosine) of passages near an item in the latent space.
 
-        A passage of 32 words starts at every 16th word. Its length is that of all its words; the part of it that the
-        benchmark's words make up bounds the cosine, so that passages with too small a part are passed over.
+        A passage of 32 words starts at every 16th word. Its length is that of its TF-IDF row, where words unknown to the
+        benchmark count as different ones. The part of it that the benchmark's words make up bounds the cosine, as the
+        latent space only shortens vectors, so passages with too small a part are passed over and none is lost.
         """
         pad = len(self.squares) - 1
         blocks = [max(1, -(-len(t) // BLOCK)) for t in texts]
@@ -188,15 +208,12 @@ class Retriever:
         for at, text in zip(first, texts):
             words[at * BLOCK:at * BLOCK + len(text)] = text
         rows = words.reshape(-1, BLOCK)
-        whole_mass, known_mass = self.squares[rows].sum(1), self.known[rows].sum(1)
-        whole_mass, known_mass = whole_mass[:-1] + whole_mass[1:], known_mass[:-1] + known_mass[1:]
         begins = np.arange(int(first[-1]))
         text_of = np.repeat(np.arange(len(texts)), blocks)
         alone = (np.array(blocks) == 1)[text_of]
-        inside = np.append(text_of[1:] == text_of[:-1], False)
         # the last block of a text is part of the passage before it; a text of one block is its own passage
-        whole_mass = np.where(inside, whole_mass, self.squares[rows[:-1]].sum(1))
-        known_mass = np.where(inside, known_mass, self.known[rows[:-1]].sum(1))
+        inside = np.append(text_of[1:] == text_of[:-1], False)
+        whole_mass, known_mass = self.masses(rows, inside)
         able = (inside | alone) & (known_mass >= self.cosine ** 2 * whole_mass) & (known_mass > 0)
         needed = able.copy()
         needed[1:] |= able[:-1] & inside[:-1]
@@ -214,7 +231,7 @@ class Retriever:
             near = (own @ self.latent) / np.sqrt(whole_mass[part])[:, None]
             for i, j in zip(*np.nonzero(near >= self.cosine)):
                 text = int(text_of[part[i]])
-                yield text, int(part[i] - first[text]) * BLOCK, int(self.bench.item_of[j]), float(near[i, j])
+                yield text, int(part[i] - first[text]) * BLOCK, int(self.bench.item_of[j]), min(1.0, float(near[i, j]))
 
     def matches(self, texts: list[np.ndarray]) -> list[tuple[int, int, float, float, float, int]]:
         """(text, item, cosine, match, answer match, word) of verified candidates, the best one for each text and item."""
