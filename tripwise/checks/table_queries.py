@@ -17,7 +17,7 @@ from tripwise.functions import timeparts as P
 from tripwise.operators.learning import CATEGORIES, SELECTED_FEATURES, categorize, fit_regressor, predict, prepare, xy_split
 from tripwise.operators.staging import fresh_path
 from tripwise.plans.cleaning import clean_rides
-from tripwise.sources import readers, schemas, writers
+from tripwise.sources import payloads, readers, schemas, writers
 from tripwise.sources.zipped import open_store
 
 RIDE_COLUMNS = ("departure", "return", "departure_id", "departure_name", "return_id", "return_name", "distance",
@@ -152,12 +152,39 @@ def _(t):
     return readers.parse_station_json(t.spark, path, multi_line=False)
 
 
-def _nodes(t):
+@check("S4b_station_records", """
+select case when c_custkey % 13 <> 0 then 'smoove:' || c_custkey end as id, c_name as name, 60 + c_nationkey * 0.01::double as lat,
+  24 + c_nationkey * 0.02::double as lon, case when c_custkey % 11 <> 0 then cast(c_custkey % 40 as integer) end as capacity,
+  concat_ws(', ', case when c_custkey % 13 = 0 then 'id is missing' end, case when c_custkey % 11 = 0 then 'capacity is not int' end) as reasons,
+  case when c_custkey % 5 = 0 then 'open' end as state from customer""")
+def _(t):
+    """Payloads with a field of the wrong type, a required one that is missing and a new one."""
+    key = F.col("c_custkey")
+
+    def station(capacity):
+        return F.to_json(F.struct(
+            F.when(key % 13 != 0, F.concat(F.lit("smoove:"), key.cast("string"))).alias("stationId"), F.col("c_name").alias("name"),
+            (60 + F.col("c_nationkey") * F.lit(0.01)).alias("lat"), (24 + F.col("c_nationkey") * F.lit(0.02)).alias("lon"),
+            F.when(key % 5 == 0, F.lit("open")).alias("state"), capacity.alias("capacity")))
+
+    text = F.when(key % 11 == 0, station(F.lit("many"))).otherwise(station((key % 40).cast("int")))
+    path = fresh_path(t.spark, "drifting-payload")
+    t.read("customer").select(F.concat(F.lit('{"data":{"vehicleRentalStations":['), text, F.lit("]}}"))).write.text(path)
+    rows = payloads.station_records(payloads.read_documents(t.spark, path, multi_line=False))
+    return rows.select("id", "name", "lat", "lon", "capacity", F.concat_ws(", ", "reasons").alias("reasons"),
+                       F.try_variant_get("record", "$.state", "string").alias("state"))
+
+
+def _node_payload(t, broken: int | None = None) -> str:
+    """Written payloads; nodes whose capacity would be `broken` get one that is no number."""
     key = F.col("c_custkey")
+    capacity = (key % 50).cast("string")
+    if broken is not None:
+        capacity = F.when(key % 50 == broken, "about fifty").otherwise(capacity)
     tags = F.map_filter(
         F.create_map(
             F.lit("name"), F.when(key % 7 != 0, F.col("c_name")),
-            F.lit("capacity"), F.when(key % 3 != 0, (key % 50).cast("string")),
+            F.lit("capacity"), F.when(key % 3 != 0, capacity),
             F.lit("amenity"), F.lit("bicycle_rental"),
         ),
         lambda k, v: v.isNotNull(),
@@ -168,7 +195,11 @@ def _nodes(t):
     )
     path = fresh_path(t.spark, "node-payload")
     t.read("customer").select(F.array(node).alias("elements")).write.json(path)
-    return readers.parse_osm_nodes(t.spark, path, multi_line=False)
+    return path
+
+
+def _nodes(t):
+    return readers.parse_osm_nodes(t.spark, _node_payload(t), multi_line=False)
 
 
 _NODES_SQL = """
@@ -182,6 +213,13 @@ def _(t):
     return _nodes(t)
 
 
+@check("S5b_node_records", _NODES_SQL + " and (c_custkey % 3 = 0 or c_custkey % 50 <> 49)")
+def _(t):
+    """The same nodes; a capacity that is no number rejects its node instead of stopping the job."""
+    documents = payloads.read_documents(t.spark, _node_payload(t, broken=49), multi_line=False)
+    return payloads.accepted(payloads.node_records(documents)).select("name", "lat", "lon", "capacity")
+
+
 @check("S6_parse_weather_arrays", """
 select time, round(temperature, 4) as temperature, round(wind_speed, 4) as wind_speed, precipitation from weather""")
 def _(t):
