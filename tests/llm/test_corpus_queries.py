@@ -467,6 +467,20 @@ def test_sharding_odd_rows(odd, nothing):
     assert sharding.shard_table(odd.select("doc_id", "text", "source"), 40).count() == 10
 
 
+def test_sources_of_one_row_spread_over_ranges(spark, monkeypatch):
+    """60,000 sources of one row all have the fractional rank 1/2; beside them one large source."""
+    rows = spark.range(80_000).selectExpr("id as doc_id", "'t' || id % 7 as text", "if(id < 60000, 's' || id, 'large') as source")
+    written, write = [], sharding.materialize
+    monkeypatch.setattr(sharding, "materialize", lambda df, label: written.append((label, write(df, label))) or written[-1][1])
+    out = sharding.shard_table(rows, 7).collect()
+    ranges = [r["n"] for label, df in written if label == "places" for r in df.groupBy("_at").agg(F.count("*").alias("n")).collect()]
+    assert len(ranges) == 8 and max(ranges) < 2 * 10_000
+    key = {r["doc_id"]: r["key"] for r in rows.select("doc_id", sharding.seeded_key(sharding.SEED, F.col("doc_id"), F.md5("text")).alias("key")).collect()}
+    place = {d: i for i, d in enumerate(sorted(range(60_000, 80_000), key=key.get))}
+    order = sorted(range(80_000), key=lambda d: (0.5, f"s{d}") if d < 60_000 else ((2 * place[d] + 1) / 40_000, "large"))
+    assert [d for _, _, d in sorted((r["shard"], r["slot"], r["doc_id"]) for r in out)] == order
+
+
 # 10 near duplicates
 
 def test_covering_masks_hide_every_small_difference():

@@ -10,6 +10,8 @@ from tripwise.operators.staging import materialize
 
 SEED = "shard-1"
 ROWS_PER_BUCKET = 5_000
+ROWS_PER_RANGE = 500_000  # the table of ranges has a row for each so many rows
+ROW_BITS = 33  # of Spark's increasing ids, below the number of the partition
 OVERHEAD = 16
 
 
@@ -30,9 +32,11 @@ def interleaved(rows: DataFrame, stratum: str, key: str, ties: list[str]) -> tup
     are ordered by it (ties by stratum, null last, then key and `ties`), so that every stretch of the order holds the
     strata in their proportions.
 
-    Both rankings are made in two steps: rows are counted by slices of the key (of the fractional rank), running counts
-    over the slices give each slice its offset, and rows are numbered inside a slice. A stratum with a third of all
-    rows is as many slices as its rows need, and no step sorts more than a slice in one task.
+    Both rankings are made in two steps. In a stratum, rows are counted by slices of the key, running counts over the
+    slices give each slice its offset, and rows are numbered inside a slice; a stratum with a third of all rows is as
+    many slices as its rows need. The whole order is cut into ranges of it, ties and all, so strata of one row, which all
+    have the rank 1/2, spread over ranges like any others; rows are numbered in the sorted ranges, which are written, and
+    a range starts where those before it end.
     """
     total = rows.count()
     slices = max(1, -(-total // ROWS_PER_BUCKET))
@@ -50,16 +54,16 @@ def interleaved(rows: DataFrame, stratum: str, key: str, ties: list[str]) -> tup
     fraction = (2 * (F.col("_before") + F.col("_rank")) - 1) / (2 * F.col("_all"))
     ranked = materialize(ranked.withColumn("_fraction", fraction).drop("_slice", "_rank", "_of", "_at", "_before", "_all"), "ranks")
 
-    sliced = ranked.withColumn("_slice", (F.col("_fraction") * slices).cast("bigint"))
-    counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    to_here = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # one row for each slice
-    offsets = counts.select(F.col("_slice").alias("_at"), "_n").select(
-        "_at", F.coalesce(F.sum("_n").over(to_here), F.lit(0)).alias("_before"))
     order = [F.col("_fraction"), F.col(stratum).asc_nulls_last(), *within]
-    numbered = _numbered(sliced, ["_slice"], order, "_rank")
-    placed = numbered.join(offsets, F.col("_slice") == F.col("_at"))
-    return placed.withColumn("_place", F.col("_before") + F.col("_rank") - 1).drop(
-        "_slice", "_rank", "_at", "_before", "_fraction"), total
+    parts = max(1, -(-total // ROWS_PER_RANGE), min(slices, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ordered = ranked.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = materialize(ordered.select("*", F.spark_partition_id().alias("_at"), F.monotonically_increasing_id().alias("_nth")), "places")
+    to_here = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = placed.groupBy(F.col("_at").alias("_of")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_of", F.coalesce(F.sum("_n").over(to_here), F.lit(0)).alias("_before"))
+    joined = placed.join(F.broadcast(offsets), F.col("_at") == F.col("_of"))
+    in_range = F.col("_nth").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return joined.withColumn("_place", F.col("_before") + in_range).drop("_at", "_nth", "_of", "_before", "_fraction"), total
 
 
 def cut(place: Column, total: int, shards: int) -> tuple[Column, Column]:
