@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,13 @@ KEY_BITS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage. Spark removes the shuffle files and broadcasts of a finished plan only then, and a
+    driver that runs many short jobs may not come to it for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 

@@ -2,10 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tripwise.operators.staging import materialize
+from tripwise.llm.common import tidy
+from tripwise.operators.staging import fresh_path
+
+STRETCH = 200_000  # edges that are joined up at once
+
+
+def _forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
+    """Each node that is not the lowest of its component, with that lowest node."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        at = x
+        while at in above:
+            at = above[at]
+        while x in above:
+            above[x], x = at, above[x]
+        return at
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+    return {x: top(x) for x in list(above)}
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of a task's edges as stars around their lowest nodes: as many edges as nodes hang on others."""
+    def star(waiting: list) -> pa.RecordBatch:
+        hung = _forest(waiting)
+        return pa.RecordBatch.from_arrays([pa.array(list(hung), pa.int64()), pa.array(list(hung.values()), pa.int64())], names=["u", "v"])
+
+    waiting: list[tuple[int, int]] = []
+    for batch in batches:
+        waiting.extend(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        if len(waiting) >= STRETCH:
+            yield star(waiting)
+            waiting = []
+    if waiting:
+        yield star(waiting)
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -24,21 +65,29 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(joined.select("u", F.col("m").alias("v")))
 
 
+def _written(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, with their number and a digest of them all, taken while they are written."""
+    path, seen = fresh_path(edges.sparkSession, label), Observation()
+    digest = F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0).cast("bigint"))
+    edges.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("digest")).write.parquet(path)
+    counted = seen.get["n"], seen.get["digest"]
+    tidy(edges.sparkSession)
+    return edges.sparkSession.read.schema("u bigint, v bigint").parquet(path), counted
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """`node`, `root` (lowest node of its component) for every node that has an edge to another node.
 
-    Alternating large-star and small-star steps: every step hangs neighbours on the lowest one, which shortens long
-    chains by a power each time. Each round is written to the shared folder, and ends when it changes nothing. Null ends,
-    loops and repeated edges are ignored; a table without edges gives no rows.
+    Each task first joins up its own edges, so that what many tasks found of one group is a star each. Then large-star
+    and small-star steps alternate: every step hangs neighbours on the lowest one, which shortens long chains by a power
+    each time. Each round is written to the shared folder and counted on the way, and the rounds end when one changes
+    nothing. Null ends, loops and repeated edges are ignored; a table without edges gives no rows.
     """
-    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges = materialize(edges.filter("u != v and u is not null and v is not null").distinct(), "edges")
+    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v and u is not null and v is not null")
+    edges, state = _written(pairs.mapInArrow(_joined_up, "u bigint, v bigint").distinct(), "edges")
     before = None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before or state[0] == 0:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    while state != before and state[0]:
         before = state
-        stars = _small_star(_large_star(edges).distinct()).filter("u != v").distinct()
-        edges = materialize(stars, "stars")
+        edges, state = _written(_small_star(_large_star(edges)).filter("u != v").distinct(), "stars")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

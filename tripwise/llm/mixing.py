@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripwise.llm.common import KEY_BITS, WORD, packed, seeded_key, whole
+from tripwise.llm.common import KEY_BITS, WORD, packed, seeded_key, tidy, whole
 from tripwise.operators.staging import as_lookup, lookup_join, materialize
 
 SEED = "mix-1"
@@ -139,6 +139,7 @@ def plan_mix(rows: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, depth:
         "_stratum", "_block", "place", "source_size", "target", "nth", "blocks", "passes", partial.alias("partial"),
         (F.col("rest") - (F.col("end") - F.col("size"))).alias("room"), (F.col("passes") + more.cast("int")).alias("times")), "mix-plan")
 
+    tidy(rows.sparkSession)
     last = as_lookup(blocks.filter("partial").select("_stratum", "_block", "room"))
     running = Window.partitionBy("_stratum", "_block").orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)
     ends = lookup_join(rows.select("_stratum", "_block", "_key", "_size"), last, ["_stratum", "_block"], "inner")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwise.llm.common import drawn, held_out, packed, seeded_key
+from tripwise.llm.common import drawn, held_out, packed, seeded_key, tidy
 from tripwise.operators.staging import materialize
 
 SEED = "quality-1"
@@ -138,6 +138,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return None, table
     mixed = drawn(table.select("key", "statistics"), "key", unlabelled)
     mean, scale = np.array(moments[:STATISTICS]), np.array(moments[STATISTICS:]) + 1e-6
+    tidy(documents.sparkSession)
     p, u = (np.clip((np.array([r["statistics"] for r in rows]) - mean) / scale, -8, 8) for rows in (good, mixed))
     return PuModel(mean, scale, fit_non_negative(p, u, share)), table
 

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwise.llm.common import packed
+from tripwise.llm.common import packed, tidy
 from tripwise.llm.graph import components
-from tripwise.operators.staging import materialize
+from tripwise.operators.staging import as_lookup, lookup_join, materialize
 
 BITS = 64
 RADIUS = 4
@@ -129,7 +129,8 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_links(values: DataFrame, column: str, radius: int = RADIUS) -> DataFrame:
-    """`a`, `b`: a spanning set of the links between distinct values that differ in at most `radius` bits.
+    """`a`, `b`: a spanning set of the links between distinct values that differ in at most `radius` bits; a link may be
+    there more than once.
 
     Each distinct value goes into one bucket for each mask. Buckets are dealt out by their key and read in sorted order,
     one bucket at a time.
@@ -140,7 +141,7 @@ def near_links(values: DataFrame, column: str, radius: int = RADIUS) -> DataFram
     buckets = distinct.select(F.explode(keys).alias("key"), "value")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = buckets.repartition(parts, "key").sortWithinPartitions("key", "value")
-    return dealt.mapInArrow(_bucket_edges(radius), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(_bucket_edges(radius), "a bigint, b bigint")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -156,14 +157,21 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _with_components(marked: DataFrame, radius: int) -> DataFrame:
-    """Add `root` and `component_id` to rows of `doc_id` and `value`."""
+    """Add `root` and `component_id` to rows of `doc_id` and `value`.
+
+    Only values that are linked to another one meet by their root, in a join with a measured table, so that a group with
+    a large part of all values is dealt out.
+    """
     nodes = marked.groupBy("value").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(marked, "value", radius), "a", "b")
-    placed = nodes.join(roots, nodes["value"] == roots["node"], "left").select(
-        "value", "least", F.coalesce("root", "value").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_value = materialize(placed.join(lowest, "root").select("value", "root", "component_id"), "simhash-components")
-    return marked.join(of_value, "value")
+    linked = materialize(nodes.join(roots, nodes["value"] == roots["node"]).select("value", "least", "root"), "simhash-linked")
+    tidy(marked.sparkSession)
+    lowest = as_lookup(linked.groupBy("root").agg(F.min("least").alias("component_id")), stage="simhash-roots")
+    of_linked = lookup_join(linked, lowest, "root", "inner").select("value", "root", "component_id", F.lit(True).alias("linked"))
+    of_value = nodes.join(of_linked, "value", "left").select(
+        "value", F.coalesce("root", "value").alias("root"),
+        F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return marked.join(materialize(of_value, "simhash-components"), "value")
 
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
