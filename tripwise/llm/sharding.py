@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwise.llm.common import KEY_BITS, packed, seeded_key, whole
-from tripwise.operators.staging import materialize
+from tripwise.operators.staging import as_lookup, lookup_join, materialize
 
 SEED = "shard-1"
 ROWS_PER_BUCKET = 5_000
@@ -42,17 +42,17 @@ def interleaved(rows: DataFrame, stratum: str, key: str, ties: list[str]) -> tup
     slices = max(1, -(-total // ROWS_PER_BUCKET))
     within = [F.col(key), *[F.col(c) for c in ties]]
 
-    sliced = rows.withColumn("_slice", (F.col(key) / F.lit(float(1 << KEY_BITS)) * slices).cast("bigint"))
-    counts = sliced.groupBy(stratum, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    to_here = Window.partitionBy(stratum).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    name = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit(""))  # a null stratum has a name of its own
+    sliced = rows.withColumns({"_of": name, "_at": (F.col(key) / F.lit(float(1 << KEY_BITS)) * slices).cast("bigint")})
+    counts = sliced.groupBy("_of", "_at").agg(F.count(F.lit(1)).alias("_n"))
+    to_here = Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        F.col(stratum).alias("_of"), F.col("_slice").alias("_at"),
-        F.coalesce(F.sum("_n").over(to_here), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(stratum)).alias("_all"))
-    numbered = _numbered(sliced, [stratum, "_slice"], within, "_rank")
-    ranked = numbered.join(offsets, F.col(stratum).eqNullSafe(F.col("_of")) & (F.col("_slice") == F.col("_at")))
+        "_of", "_at", F.coalesce(F.sum("_n").over(to_here), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_of")).alias("_all"))
+    # measured first, so that the rows and their texts are never shuffled for this join while its other side is counted
+    offsets = as_lookup(offsets, stage="slice-offsets")
+    ranked = lookup_join(_numbered(sliced, ["_of", "_at"], within, "_rank"), offsets, ["_of", "_at"], "inner")
     fraction = (2 * (F.col("_before") + F.col("_rank")) - 1) / (2 * F.col("_all"))
-    ranked = materialize(ranked.withColumn("_fraction", fraction).drop("_slice", "_rank", "_of", "_at", "_before", "_all"), "ranks")
+    ranked = materialize(ranked.withColumn("_fraction", fraction).drop("_rank", "_of", "_at", "_before", "_all"), "ranks")
 
     order = [F.col("_fraction"), F.col(stratum).asc_nulls_last(), *within]
     parts = max(1, -(-total // ROWS_PER_RANGE), min(slices, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
