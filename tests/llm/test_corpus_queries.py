@@ -416,6 +416,52 @@ def test_lines_that_most_articles_of_a_host_hold_go_and_quotes_stay(spark):
     assert all(found[i] == ["Read this in our app today", own[i], "Written by our staff"] for i in (8, 9))  # too few pages to tell
 
 
+def test_partners_are_found_past_any_number_of_copies(spark, monkeypatch):
+    """Against a plain search over the whole host; blocks of three pages, so that every search crosses many of them."""
+    rng = random.Random(3)
+
+    def page(i):
+        body = [f"Tale number {i % 5}, told by line {k}" for k in range(6)] if i < 40 else [f"Own line {i} {k}" for k in range(6)]
+        body[rng.randrange(6)] = f"Altered in {i % 30}"
+        return "".join(f"<p>{line}</p>" for line in ["Menu of the site", f"Part {i % 3}", *body, "Our address"])
+
+    paths = [f"/{'a' * rng.randrange(3)}/{i:02d}" for i in range(48)]
+    rows = [(i, f"http://h{i % 2 if i < 10 else 0}{paths[i]}", page(i)) for i in range(48)] + [(99, "http://h0/zz", page(47))]
+
+    def plain(i):
+        own = html_extraction.lines_of(rows[i][2])
+        digests, weights = [line.digest for line in own], [len(line.text) for line in own]
+        order, seen = [], set()
+        for at, r in sorted(enumerate(rows), key=lambda x: (x[1][1], x[1][0])):
+            lines = tuple(line.digest for line in html_extraction.lines_of(r[2]))
+            if r[1].startswith(rows[i][1][:9]) and lines not in seen:
+                seen.add(lines)
+                order.append((r[1], lines))
+        me = next(k for k, (_, lines) in enumerate(order) if list(lines) == digests)
+        for k in sorted(range(len(order)), key=lambda k: (-html_extraction._shared_path(order[me][0], order[k][0]), abs(k - me), k)):
+            found = html_extraction.aligned(digests, list(order[k][1]))
+            if 2 * sum(weights[f] for f in found) <= sum(weights):
+                return "\n".join(line.text for j, line in enumerate(own) if j not in found)
+        return "\n".join(line.text for line in own)
+
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    monkeypatch.setattr(html_extraction, "PAGES_AT_ONCE", 3)
+    found = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(pages).collect()}
+    assert found == {r[0]: plain(i) for i, r in enumerate(rows)}
+    same = [(i, f"http://h/a/{i:02d}", page(40).replace("Menu", f"Menu {i}:")) for i in range(30)] + [(30, "http://h/b", page(41))]
+    found = html_extraction.extract_pages(spark.createDataFrame(same, "page_id bigint, url string, html string")).collect()
+    assert len(found) == 31 and not any("Our address" in r["text"] for r in found)
+
+
+def test_the_nearest_page_is_found_on_a_large_host(spark):
+    def page(i):
+        return f"<p>Section {i // 2}</p><p>The own and only text of page {i}</p>"
+
+    rows = [(i, f"http://h/{i // 2:04d}/{i}", page(i)) for i in range(2400)]
+    found = html_extraction.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in found) == [(i, f"The own and only text of page {i}") for i in range(2400)]
+
+
 def test_alignment_is_a_common_subsequence_and_bounded():
     rng = random.Random(8)
     for _ in range(300):
