@@ -233,6 +233,22 @@ def test_paraphrase_and_answer(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_items_come_in_order_in_few_jobs(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.randrange(9), rng.choice("abc"), rng.choice(["x", None])) for _ in range(90)]
+    items = spark.createDataFrame(rows, "item_id bigint, text string, answer string").repartition(30)
+    expected = sorted(rows, key=lambda r: (r[0], r[1], r[2] or ""))
+    monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 7)
+    assert list(decontamination._in_order(items)) == expected
+    monkeypatch.setattr(decontamination, "ITEMS_AT_ONCE", 1000)
+    spark.sparkContext.setJobGroup("items", "items")
+    try:
+        assert list(decontamination._in_order(items)) == expected
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("items")) <= 6
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_candidates_equal_a_dense_computation():
     """Cosines of whole TF-IDF rows in the latent space; repeated words count by their number, none is passed over."""
     rng = random.Random(9)
@@ -593,6 +609,17 @@ def test_near_duplicates_of_odd_rows(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.drop_near_duplicates(nothing).count() == 0
 
 
+def test_every_step_of_the_star_rounds_is_one_join(spark):
+    from tripwise.llm import graph
+
+    edges = spark.createDataFrame([(i + 1, i) for i in range(9)] + [(9, 0)], "u bigint, v bigint")
+    larger = graph._large_star(edges)
+    joins = [str(f._jdf.queryExecution().optimizedPlan()).count("Join ") for f in (larger, graph._small_star(larger.limit(99)))]
+    scans = [str(f._jdf.queryExecution().optimizedPlan()).count("LogicalRDD") for f in (larger, graph._small_star(edges))]
+    assert joins[0] == 1 and scans == [2, 2]
+    assert {tuple(r) for r in graph._small_star(edges).collect()} == {(i, min(i - 1, 0 if i == 9 else i - 1)) for i in range(1, 10)} | {(8, 0)}
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, None), (7, 7)], "a bigint, b bigint")
     found = {r["node"]: r["root"] for r in components(chain, "a", "b").collect()}

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwise.llm.common import packed, whole
+from tripwise.llm.common import packed, tidy, whole
+from tripwise.operators.staging import materialize
 
 BLOCK = 16
 PASSAGE = 2 * BLOCK
@@ -24,6 +25,7 @@ MATCH = 0.6
 ANSWER = 0.5
 SURE = 0.7
 PASSAGES_AT_ONCE = 384
+ITEMS_AT_ONCE = 1000
 TEXTS_AT_ONCE = 200
 PASSAGES_MEASURED = 1 << 15
 SEED = 11
@@ -280,6 +282,22 @@ def _searching(shared):
     return run
 
 
+def _in_order(items: DataFrame) -> Iterator[tuple]:
+    """The rows (item_id, text, answer) in order, repeated ones as often as they are there. ITEMS_AT_ONCE different ones come
+    to the driver at a time, in one job however many partitions there are."""
+    keys = ["item_id", "text", "answer"]
+    table = materialize(items.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")), "benchmark-items")
+    rest = table
+    while lot := rest.orderBy(*keys).limit(ITEMS_AT_ONCE).collect():
+        for row in lot:
+            for _ in range(row["times"]):
+                yield tuple(row)[:3]
+        if len(lot) < ITEMS_AT_ONCE:
+            return
+        last = F.struct(*[F.lit(lot[-1][c]).cast(table.schema[c].dataType).alias(c) for c in keys])
+        rest = table.filter(F.struct(*keys) > last)
+
+
 def _retrievers(documents: DataFrame, benchmark: DataFrame, text_col: str, answer_col: str | None, dimensions: int,
                 cosine: float, match: float, answer: float):
     """The broadcast search state for each block of items: the stated query set, in blocks of so many passages that the
@@ -292,17 +310,19 @@ def _retrievers(documents: DataFrame, benchmark: DataFrame, text_col: str, answe
         bench = Benchmark.of(block)
         weights = inverse_frequencies(documents, text_col, bench.numbers)
         table = spark.createDataFrame([(p,) for p in bench.passages], "ids array<int>")
-        return spark.sparkContext.broadcast((bench, weights, latent_basis(table, weights, dimensions), cosine, match, answer))
+        basis = latent_basis(table, weights, dimensions)
+        tidy(spark)
+        return spark.sparkContext.broadcast((bench, weights, basis, cosine, match, answer))
 
     block, passages = [], 0
-    for row in items.orderBy("item_id", "text").toLocalIterator():
-        more = -(-len(plain_words(row["text"])) // BLOCK)
+    for row in _in_order(items):
+        more = -(-len(plain_words(row[1])) // BLOCK)
         if not more:
             continue
         if block and passages + more > PASSAGES_AT_ONCE:
             yield prepare(block)
             block, passages = [], 0
-        block.append(tuple(row))
+        block.append(row)
         passages += more
     if block:
         yield prepare(block)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tripwise.llm.common import tidy
-from tripwise.operators.staging import fresh_path
+from tripwise.operators.staging import fresh_path, materialize
 
 STRETCH = 200_000  # edges that are joined up at once
 
@@ -55,14 +55,15 @@ def _lowest(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     return both.join(_lowest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """Every `u` and all its neighbours hang on the lowest of them; edges lead from a node to a lower one."""
     joined = edges.join(_lowest(edges), "u")
-    moved = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(joined.select("u", F.col("m").alias("v")))
+    hung = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return joined.select(F.inline(hung)).filter("u != v").distinct()
 
 
 def _written(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
@@ -80,14 +81,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Each task first joins up its own edges, so that what many tasks found of one group is a star each. Then large-star
     and small-star steps alternate: every step hangs neighbours on the lowest one, which shortens long chains by a power
-    each time. Each round is written to the shared folder and counted on the way, and the rounds end when one changes
-    nothing. Null ends, loops and repeated edges are ignored; a table without edges gives no rows.
+    each time. Each step is written to the shared folder, so that no plan holds more than one join; a round is counted on
+    the way, and the rounds end when one changes nothing. Null ends, loops and repeated edges are ignored; a table without
+    edges gives no rows.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v and u is not null and v is not null")
     edges, state = _written(pairs.mapInArrow(_joined_up, "u bigint, v bigint").distinct(), "edges")
     before = None
     while state != before and state[0]:
         before = state
-        edges, state = _written(_small_star(_large_star(edges)).filter("u != v").distinct(), "stars")
+        edges, state = _written(_small_star(materialize(_large_star(edges), "large-stars")), "stars")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
